@@ -16,6 +16,7 @@ import hashlib
 import itertools
 import json
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -322,15 +323,15 @@ class Coder:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offs), names.take(pa.array(ids))), " ")
 
 
-_coder: dict[int, Coder] = {}
+_coder: dict[str, Coder] = {}
 
 
-def _coded(shared) -> Coder:
-    """One per worker and broadcast."""
-    if shared._jid not in _coder:
+def _coded(shared, key: str) -> Coder:
+    """One per worker and model."""
+    if key not in _coder:
         _coder.clear()
-        _coder[shared._jid] = Coder(shared.value)
-    return _coder[shared._jid]
+        _coder[key] = Coder(shared.value)
+    return _coder[key]
 
 
 def _groups(texts: list[str | None], limit: int):
@@ -350,7 +351,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
     Null and empty texts have no ids and decode to an empty text. Rows are encoded one by one, so repeated rows, null
     doc_ids, further columns and very long texts need no care; memory follows the longest text and the kept words."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(path))
+    shared, key = docs.sparkSession.sparkContext.broadcast(Model(path)), uuid.uuid4().hex
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
 
     def sha(col: pa.Array) -> pa.Array:
@@ -359,7 +360,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
         return pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in itertools.pairwise(offs)], pa.string())
 
     def work(batches):
-        coder = _coded(shared)
+        coder = _coded(shared, key)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in _groups(texts, BATCH):
