@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import archives, attention, evaluation, retrieval
+
+QUERIES: dict = retrieval.QUERIES | attention.QUERIES | evaluation.QUERIES | archives.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | attention.ORACLES | evaluation.ORACLES | archives.ORACLES
