@@ -204,7 +204,8 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
     net.p["word"][w.bucket, 0] = odds  # a start from the sample's word counts; training moves it
     value = np.where(w.windows >= 0, odds[w.windows], -9).max(1) if len(odds) else np.zeros(len(w.windows))
     best = (np.inf, net)
-    for turn in range(ROUNDS + 1):
+    rounds = max(ROUNDS, min(50, 16_000 // len(y)))  # a small sample gives few steps a round
+    for turn in range(rounds + 1):
         if turn:
             vec = net.vectors(w)
             value = np.concatenate([net.forward(vec, w.windows[i : i + 4096]) for i in range(0, len(w.windows), 4096)])
@@ -216,7 +217,7 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
         at = np.flatnonzero(value == top)
         worst = at[np.unique(w.doc[at], return_index=True)[1]]
         todo = rng.permutation(np.flatnonzero(own))
-        for part in np.array_split(todo, max(1, len(todo) // BATCH)) if turn < ROUNDS else ():
+        for part in np.array_split(todo, max(1, len(todo) // BATCH)) if turn < rounds else ():
             ids, win = np.unique(w.windows[worst[part]], return_inverse=True)
             win = win.reshape(-1, LENGTH) - (ids[0] < 0)
             few = w.take(ids[ids >= 0])
