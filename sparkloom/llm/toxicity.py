@@ -1,12 +1,13 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, over character and word inputs.
 
 A word enters as a vector of its own and the mean of vectors of its character trigrams. The network reads windows of 32
-words that overlap by 8; a text's score is that of its worst window. Training, in numpy on the driver, is from a bounded
+words that overlap by 8; a text's score is that of its worst window. Training, in numpy in one task, is from a bounded
 sample of labelled texts: in every round each text gives the window that the network then finds worst."""
 
 from __future__ import annotations
 
 import copy
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -179,9 +180,10 @@ class Network:
 
 def _counts(w: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each distinct word: the texts that hold it, and its log odds over them, drawn towards 0 for rare words."""
-    pairs = np.unique(np.stack([w.windows.ravel(), np.repeat(w.doc, LENGTH)], 1), axis=0)
-    pairs = pairs[pairs[:, 0] >= 0]
-    n, pos = np.bincount(pairs[:, 0], minlength=len(w.bucket)), np.bincount(pairs[:, 0], y[pairs[:, 1]], len(w.bucket))
+    key = np.where(w.windows >= 0, w.windows * len(y) + w.doc[:, None], -1).ravel()
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1]) & (key >= 0)]
+    n, pos = np.bincount(key // len(y), minlength=len(w.bucket)), np.bincount(key // len(y), y[key % len(y)], len(w.bucket))
     share = y.mean()
     return n, np.clip(np.log((pos + 12 * share) / (n - pos + 12 * (1 - share)) * (1 - share) / share), -2, 3)
 
@@ -235,15 +237,28 @@ def _only(w: Words, own: np.ndarray) -> Words:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of labelled texts for the driver: the labels of each class that come first by a hash of doc_id; the
-    texts come by a broadcast of at most 3,000 ids. Null labels and texts are left out, repeated labels count once."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, text of a bounded sample of labelled texts: the labels of each class that come first by a hash of
+    doc_id; the texts come by a broadcast of at most 3,000 ids. Null labels and texts are left out, repeated ones count once."""
     ids = None
     for kind, n in SAMPLE.items():
         part = labels.where(F.col("toxic") == kind).select("doc_id", "toxic").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = part if ids is None else ids.unionByName(part)
-    rows = docs.select("doc_id", "text").where(f"length(text) between 1 and {SAMPLE_CHARS}").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return [r.text for r in rows], np.array([r.toxic for r in rows], float)
+    return docs.select("doc_id", "text").where(f"length(text) between 1 and {SAMPLE_CHARS}").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """Trains in one task, which reads the bounded sample and nothing else; the driver gets the network, about 4 MB."""
+
+    def work(batches):
+        texts, y = [], []
+        for batch in batches:
+            y += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y, float)))], pa.binary())], ["net"])
+
+    got = sample(docs, labels).repartition(1).sortWithinPartitions("doc_id").select("toxic", "text").mapInArrow(work, "net binary").first()
+    return pickle.loads(got.net) if got else None
 
 
 def score(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -273,10 +288,6 @@ def score(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) -> D
     return d.mapInArrow(work, f"{kind}, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
-    return train(*sample(docs, labels))
-
-
 def op6_toxicity(spark, sf_dir) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = fit(docs, labels.where(held(F.col("doc_id"), 5) != 0))
