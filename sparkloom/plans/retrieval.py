@@ -75,7 +75,7 @@ def masked_mean_pool(spark, d) -> DataFrame:
 
 
 def l2_norm(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", l2_normalize(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
     return e.select("vec_id", F.round(F.sqrt(dot(F.col("v"), F.col("v"))), 6).alias("norm"), F.round(F.col("v")[0], 6).alias("first"))
 
 
@@ -99,6 +99,6 @@ ORACLES = {
     "reward_retrieval": _ALL + "select round(avg(ndcg), 6) as ndcg, round(least(1, greatest(0, ((avg(ndcg) - 0.001::double) / (0.715285038072705::double - 0.001) - 0.01::double) / 0.98::double)), 6) as reward from g",
     "corpus_overlap": "select doc_id from documents a where doc_id % 2 = 1 and exists (select 1 from documents b where b.doc_id % 2 = 0 and b.text = a.text)",
     "masked_mean_pool": "select label, pos, round(sum(case when pos % 3 <> 0 then x else 0 end) / greatest(sum(case when pos % 3 <> 0 then 1 else 0 end), 1), 6) as pooled from (select label, unnest(embedding)::double as x, unnest(range(0, len(embedding)))::int as pos from embeddings) group by label, pos",
-    "l2_normalize": "select vec_id, round(1.0::double, 6) as norm, round((3 * embedding[1])::double / sqrt(list_dot_product(list_transform(embedding, lambda x: (3 * x)::double), list_transform(embedding, lambda x: (3 * x)::double))), 6) as first from embeddings",
+    "l2_normalize": "select vec_id, round(1.0::double, 6) as norm, round(embedding[1]::double / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as first from embeddings",
     "contrastive_loss": _TOP.format(where="") + "m as (select query_id, max(score / 0.05::double) as m from s group by 1) select s.query_id, round(ln(sum(exp(score / 0.05::double - m))) - ln(sum(case when label = ql then exp(score / 0.05::double - m) else 0 end)), 6) as loss from s join m on m.query_id = s.query_id group by s.query_id",
 }

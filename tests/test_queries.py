@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def duck():
 def rows(frame):
     cols = sorted(frame.columns)
     def cell(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "null"
         return repr(round(float(x), 6) + 0.0) if isinstance(x, (int, float)) or hasattr(x, "dtype") or type(x).__name__ == "Decimal" else str(x)
     return sorted(tuple(map(cell, r)) for r in frame[cols].itertuples(index=False))
