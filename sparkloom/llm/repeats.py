@@ -61,7 +61,7 @@ def runs(docs: DataFrame, s: Symbols, only_anchor: bool = False) -> DataFrame:
     return docs.select("d", "t", "text").mapInArrow(work, "anchor long" if only_anchor else RUNS)
 
 
-def repeated(docs: DataFrame, s: Symbols, kernel: Callable, order_matters: bool, most: int = 4000, block: int = 4_000_000) -> DataFrame:
+def repeated(docs: DataFrame, s: Symbols, kernel: Callable, order_matters: bool, most: int = 4000, block: int = 250_000) -> DataFrame:
     """(d, t, spans array<long>): for each text with repeated windows, their first symbols, as lo << 20 | count.
 
     kernel(groups) works on whole groups of stretches: arrays `group` (a number, in order), `weight`, `d`, `pos`, `bytes`,
@@ -69,12 +69,13 @@ def repeated(docs: DataFrame, s: Symbols, kernel: Callable, order_matters: bool,
     all but the first. With order_matters the first window of equal ones stays."""
     spark = docs.sparkSession
     docs = keyed(docs)
-    often = runs(docs, s, only_anchor=True).groupBy("anchor").count().where("count > 1").select("anchor")
+    # a table of its own: AQE splits the join of a hot anchor only if no aggregate stands between it and the exchanges
+    often = stash(runs(docs, s, only_anchor=True).groupBy("anchor").count().where("count > 1").select("anchor"))
     members = stash(runs(docs, s).join(often, "anchor", "left_semi"))
     release(spark)
     stretch = members.groupBy("anchor", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("d", "pos", "t")).alias("f"))
-    size = stretch.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum("weight").alias("runs"))
-    stretch = stash(stretch.join(size, "anchor").where("runs > 1").select("anchor", "ctx", "weight", "f.d", "f.t", "f.pos", "stretches"))
+    size = stretch.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum("weight").alias("runs")).where("runs > 1")
+    stretch = stash(stretch.join(size, "anchor").select("anchor", "ctx", "weight", "f.d", "f.t", "f.pos", "stretches"))
     found = _judge(docs, stretch, s, kernel, order_matters, most, block)
     keys = ["anchor", "ctx"]
     found = found.withColumnRenamed("d", "fd").withColumnRenamed("pos", "fpos")
@@ -123,6 +124,16 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
     def answer(rows: pa.Table):
         if not len(rows):
             return
+        a, col = rows["anchor"].to_numpy(), rows["bytes"].combine_chunks()
+        cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+        size = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        # whole groups, as many as begin in one block of bytes
+        cuts = cuts[np.append(True, np.diff((size[cuts] - size[0]) // block) > 0)]
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=True):
+            if lo < hi:
+                yield from part(rows.slice(lo, hi - lo))
+
+    def part(rows: pa.Table):
         a = rows["anchor"].to_numpy()
         row, start, count, kind = kernel(np.cumsum(np.append(False, a[1:] != a[:-1])), rows["weight"].to_numpy(), rows["d"].to_numpy(), rows["pos"].to_numpy(), rows["bytes"].combine_chunks())
         at = pa.array(row)
@@ -133,13 +144,15 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
 
     # groups of more than `most` different stretches: one row per window of theirs, counted by a hash of all its symbols
     def explode(batches):
-        for batch in batches:
-            pos = batch.column(4).to_numpy()
-            n = pos >> 10 & 1023
-            row = pa.array(np.repeat(np.arange(len(n)), n))
-            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h = _window_hashes(batch.column(5), n, s.window)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(5)), pa.array(start), pa.array(h.view(np.int64))], ["anchor", "ctx", "weight", "d", "pos", "start", "h"])
+        for whole in batches:
+            for k in range(0, len(whole), 100):  # stretches hold hundreds of windows
+                batch = whole[k : k + 100]
+                pos = batch.column(4).to_numpy()
+                n = pos >> 10 & 1023
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                h = _window_hashes(batch.column(5), n, s.window)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(5)), pa.array(start), pa.array(h.view(np.int64))], ["anchor", "ctx", "weight", "d", "pos", "start", "h"])
 
     one = rows.where("big").select("anchor", "ctx", "weight", "d", "pos", "bytes").mapInArrow(explode, "anchor long, ctx long, weight long, d long, pos long, start long, h long")
     place = F.struct("d", (F.shiftright("pos", 20) + F.col("start")).alias("s"), "ctx")

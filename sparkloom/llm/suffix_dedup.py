@@ -35,17 +35,23 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     lcp = np.full(n, 8, np.int32)
     for i in range(8):
         lcp[diff >> np.uint64(8 * i) > 0] = 7 - i
-    new = np.zeros(n, np.int64)
-    new[1:] = diff[1:] > 0
+    # a suffix's rank is the place where those equal so far begin; those alone with their rank stand where they belong
+    new = np.append(True, diff[1:] > 0)
+    del padded, key, diff
     rank = np.zeros(n, np.int64)
-    rank[order] = np.cumsum(new)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    at = np.flatnonzero(~(new & np.append(new[1:], True)))
     h = 8
-    while h < depth and rank[order[-1]] < n - 1:
-        pair = (rank + 1) << 32
-        pair[:-h] |= rank[h:] + 1
-        order = np.argsort(pair)
-        new[1:] = pair[order[1:]] != pair[order[:-1]]
-        rank[order] = np.cumsum(new)
+    while h < depth and len(at):
+        i = order[at]
+        ahead = i + h
+        pair = rank[i] << 32 | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        s = np.argsort(pair)
+        order[at] = i = i[s]
+        pair = pair[s]
+        new = np.append(True, pair[1:] != pair[:-1])
+        rank[i] = np.maximum.accumulate(np.where(new, at, 0))
+        at = at[~(new & np.append(new[1:], True))]
         h *= 2
     return order, lcp
 
@@ -90,6 +96,19 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, short: np.ndarray, leas
 
 
 def kernel(group, weight, d, pos, col: pa.Array):
+    # copies collapsed to one stretch have nothing else to be held against: all their windows repeat, none within the stretch
+    many = np.bincount(group - group[0])[group - group[0]] > 1
+    alone, at = np.flatnonzero(~many & (weight > 1)), np.flatnonzero(many)
+    zero = np.zeros(len(alone), np.int64)
+    found = [(alone, zero, (pos >> 10 & 1023)[alone], zero)]
+    if len(at):
+        row, *rest = extended(weight[at], pos[at], col.take(pa.array(at)))
+        found.append((at[row], *rest))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def extended(weight, pos, col: pa.Array):
+    """The windows that repeat in these stretches, as runs (row, start, count, 0)."""
     n = pos >> 10 & 1023
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
@@ -107,7 +126,7 @@ def kernel(group, weight, d, pos, col: pa.Array):
     at = np.flatnonzero(start < n[of])
     total = np.bincount(cls[at], weight[of[at]])
     at = at[total[cls[at]] >= 2]
-    return (*join_runs(of[at], start[at], np.zeros(len(at), np.int64)),)
+    return join_runs(of[at], start[at], np.zeros(len(at), np.int64))
 
 
 def join_runs(row: np.ndarray, start: np.ndarray, kind: np.ndarray):
