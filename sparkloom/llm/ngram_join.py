@@ -24,6 +24,8 @@ WIDTH = 5
 #: 100 * intersection >= 80 * union, as a share of both sizes: intersection >= 80 / 180 * (a + b).
 PERCENT = 80
 LEAF, FAN, CELL = 16, 8, 2048
+#: Bits of the widest signature, and bytes of signatures that a traversal holds against others at once.
+WIDEST, STEP = 1 << 16, 8_000_000
 #: Rows of two numbers, about 3 MB, up to which a table of ids is broadcast.
 BROADCAST_ROWS = 100_000
 _BITS = 48
@@ -60,15 +62,21 @@ def prefix(n: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of 2 n to 4 n bits, a power of two, at least 64."""
-    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """A bitmap of 8 n to 16 n bits, a power of two, at least 256; of WIDEST bits for the largest sets, for which it prunes
+    less."""
+    size = min(WIDEST, max(256, 1 << int(8 * len(tokens) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(tokens * 0x9E3779B1 >> 13) & (size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def narrow(bits: bytes) -> bytes:
+    """The signature folded to a quarter of its width."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(4, -1), 0).tobytes() if bits else b""
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """Of each document: doc_id, node, n, least (its smallest shingle), bits (its signature)."""
+    """Of each document: doc_id, node, n, least (its smallest shingle), bits (its signature), few (that folded)."""
 
     def work(batches):
         for batch in batches:
@@ -77,9 +85,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 n = np.diff(at)
                 least = np.append(tokens, 0)[at[:-1]]
                 bits = [signature(tokens[a:b]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(n)], pa.array(_node(tokens, at)), pa.array(n), pa.array(least), pa.array(bits, pa.binary())], ["doc_id", "node", "n", "least", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(n)], pa.array(_node(tokens, at)), pa.array(n), pa.array(least), pa.array(bits, pa.binary()), pa.array(map(narrow, bits), pa.binary())], ["doc_id", "node", "n", "least", "bits", "few"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, node long, n long, least long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, node long, n long, least long, bits binary, few binary")
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -150,28 +158,31 @@ class Tree:
         return LEAF if level == 1 else FAN
 
 
-def dual(a: Tree, b: Tree, same: bool, skip: bool, most: int = 400_000):
+def dual(a: Tree, b: Tree, same: bool, skip: bool):
     """Pairs (i, j) of sets that may be similar enough, i < j if the trees are the same; with skip none of one component."""
     height = max(len(a.levels), len(b.levels)) - 1
-    stack = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        level, i, j = stack.pop()
+    most = max(256, STEP // (8 * a.levels[0][0].shape[1]))
+
+    def near(level, i, j):
         la, lb = (t.levels[min(level, len(t.levels) - 1)] for t in (a, b))
-        if same and level == 0:
-            keep = i < j
-            i, j = i[keep], j[keep]
         keep = (5 * la[2][i] >= 4 * lb[1][j]) & (5 * lb[2][j] >= 4 * la[1][i])
+        if same and level == 0:
+            keep &= i < j
         if skip:
             keep &= ~((la[4][i] == la[5][i]) & (lb[4][j] == lb[5][j]) & (la[4][i] == lb[4][j]))
         i, j = i[keep], j[keep]
-        both = la[0][i] & lb[0][j]
-        shared = _pop(both)
+        shared = _pop(la[0][i] & lb[0][j])
         # shingles of a set whose bit the other side has: the shared bits, and what falls on a bit once more
         top = np.minimum(shared + np.minimum(la[3][i], lb[3][j]), np.minimum(la[2][i], lb[2][j]))
         if level == 0:  # one set on each side: all of a set's shingles on bits that the other has not are missing
-            top = np.minimum(top, np.minimum(la[1][i] - (_pop(la[0][i]) - shared), lb[1][j] - (_pop(lb[0][j]) - shared)))
+            ones = [n - x for n, x in ((la[1][i], la[3][i]), (lb[1][j], lb[3][j]))]
+            top = np.minimum(top, np.minimum(la[1][i] - (ones[0] - shared), lb[1][j] - (ones[1] - shared)))
         keep = 180 * top >= 80 * (la[1][i] + lb[1][j])
-        i, j = i[keep], j[keep]
+        return i[keep], j[keep]
+
+    stack = [(height, *near(height, np.zeros(1, np.int64), np.zeros(1, np.int64)))]
+    while stack:
+        level, i, j = stack.pop()
         if not len(i):
             continue
         if level == 0:
@@ -179,12 +190,14 @@ def dual(a: Tree, b: Tree, same: bool, skip: bool, most: int = 400_000):
             continue
         fa, fb = (a.fan(level) if level < len(a.levels) else 1), (b.fan(level) if level < len(b.levels) else 1)
         na, nb = (len(t.levels[min(level - 1, len(t.levels) - 1)][1]) for t in (a, b))
+        fit = max(1, most // (fa * fb))  # pairs whose children are held at once; the rest waits
+        if len(i) > fit:
+            stack.append((level, i[fit:], j[fit:]))
+            i, j = i[:fit], j[:fit]
         ci = (i[:, None] * fa + np.repeat(np.arange(fa), fb)).ravel()
         cj = (j[:, None] * fb + np.tile(np.arange(fb), fa)).ravel()
         keep = (ci < na) & (cj < nb) & ((ci <= cj) | (not same))
-        ci, cj = ci[keep], cj[keep]
-        for k in range(0, len(ci), most):
-            stack.append((level - 1, ci[k : k + most], cj[k : k + most]))
+        stack.append((level - 1, *near(level - 1, ci[keep], cj[keep])))
 
 
 def leaders(bits: np.ndarray, n: np.ndarray, tries: int = 4):
@@ -306,13 +319,13 @@ def join(docs: DataFrame) -> DataFrame:
     kept = twin.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
     groups = stash(groups.join(kept, "token", "left_semi"))
     owner = sets.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    marks = stash(sets.select("node", "n", "least", "bits").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = stash(_verified(_candidates(groups.withColumn("comp", F.col("node")), marks, first=True), docs, owner))
+    marks = stash(sets.select("node", "n", "least", "bits", "few").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    links = stash(_verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner))
     release(spark)
     comp = components(links)
     labelled = groups.join(comp.select("node", F.col("component").alias("c")), "node", "left").select("token", "node", F.coalesce("c", "node").alias("comp"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    more = stash(_verified(_candidates(labelled.join(mixed, "token", "left_semi"), marks, first=False), docs, owner))
+    more = stash(_verified(_candidates(labelled.join(mixed, "token", "left_semi"), marks.drop("few"), first=False), docs, owner))
     release(spark)
     # documents hang on their sets; rows of one doc_id hang together
     comp = components(links.union(more))
