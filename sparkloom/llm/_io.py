@@ -28,7 +28,15 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stashed.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that no plan reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.stash_path)
 
 
 def release(spark: SparkSession) -> None:

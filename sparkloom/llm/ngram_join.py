@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import release, stash, table
+from ._io import discard, release, stash, table
 from ._text import U, WORDS, mix, run_hash, slices, word_grams, word_hashes, words
 from .components import components
 
@@ -62,17 +62,17 @@ def prefix(n: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of 8 n to 16 n bits, a power of two, at least 256; of WIDEST bits for the largest sets, for which it prunes
+    """A bitmap of 4 n to 8 n bits, a power of two, at least 128; of WIDEST bits for the largest sets, for which it prunes
     less."""
-    size = min(WIDEST, max(256, 1 << int(8 * len(tokens) - 1).bit_length()))
+    size = min(WIDEST, max(128, 1 << int(4 * len(tokens) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(tokens * 0x9E3779B1 >> 13) & (size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def narrow(bits: bytes) -> bytes:
-    """The signature folded to a quarter of its width."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(4, -1), 0).tobytes() if bits else b""
+    """The signature folded to half its width."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(2, -1), 0).tobytes() if bits else b""
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -301,7 +301,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame) -> DataFrame:
                 ok.append(100 * inter >= PERCENT * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(work, "a long, b long")
+    out = stash(both.mapInArrow(work, "a long, b long"))
+    discard(pairs, whole)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -317,15 +319,21 @@ def join(docs: DataFrame) -> DataFrame:
     # groups with the same members tell the same: one of them stays
     twin = groups.groupBy("token").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     kept = twin.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    groups = stash(groups.join(kept, "token", "left_semi"))
+    every, groups = groups, stash(groups.join(kept, "token", "left_semi"))
+    discard(every)
     owner = sets.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     marks = stash(sets.select("node", "n", "least", "bits", "few").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = stash(_verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner))
+    links = _verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner)
     release(spark)
     comp = components(links)
     labelled = groups.join(comp.select("node", F.col("component").alias("c")), "node", "left").select("token", "node", F.coalesce("c", "node").alias("comp"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    more = stash(_verified(_candidates(labelled.join(mixed, "token", "left_semi"), marks.drop("few"), first=False), docs, owner))
+    open_ = stash(labelled.join(mixed, "token", "left_semi"))
+    del comp, labelled, mixed
+    discard(groups)
+    release(spark)
+    more = _verified(_candidates(open_, marks.drop("few"), first=False), docs, owner)
+    discard(open_, marks)
     release(spark)
     # documents hang on their sets; rows of one doc_id hang together
     comp = components(links.union(more))
