@@ -94,7 +94,7 @@ def test_groups_above_the_bound_give_the_same(docs, s, kernel, order, module):
     assert few == many and few
 
 
-def test_ngram_join(docs, rows):
+def brute_join(rows) -> tuple[dict, int]:
     sets = {}
     for i, t, *_ in rows:
         ws = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -108,8 +108,33 @@ def test_ngram_join(docs, rows):
             if up[a] != up[b]:
                 up[a] = up[b] = min(up[a], up[b])
                 changed = True
+    return {i: (len(s), up[i]) for i, s in sets.items()}, len(links)
+
+
+def test_ngram_join(docs, rows):
+    want, links = brute_join(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
-    assert got == {i: (len(s), up[i]) for i, s in sets.items()} and len(links) > 10
+    assert got == want and links > 10
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_near_the_threshold(spark, monkeypatch, small):
+    """Families whose members are about 0.8 like each other, some above and some below; with small bounds, in many cells."""
+    rng = random.Random(9)
+    families = [[f"f{f}w{k}" for k in range(rng.choice([12, 60, 130, 300]))] for f in range(6)]
+    rows = []
+    for base in families:
+        for _ in range(35):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 60))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words[rng.randrange(3) :])))
+    if small:
+        for name, value in (("CELL", 8), ("ROOM", 20_000), ("PAIRS", 5), ("BROADCAST_ROWS", 0)):
+            monkeypatch.setattr(ngram_join, name, value)
+    want, links = brute_join(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and links > 500 and len({c for _, c in want.values()}) > 12
 
 
 def test_components(spark):
