@@ -7,6 +7,9 @@ out pairs of nodes whose largest possible overlap is below what their sizes ask
 shingle. Equal sets are one node. A first pass over the groups links most members to a leader, so that the traversal can
 also leave out nodes that lie in one component already: it answers for every pair of sets not yet connected.
 
+A pair that shares several groups is left to the one of the smallest shingle among the first few of each. The exact
+comparison goes by groups too: a set's shingles travel once to a group in which it has pairs, not once for each pair.
+
 Groups above a size are dealt into cells of bounded size, every pair of their members in exactly one cell."""
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ WIDTH = 5
 #: 100 * intersection >= 80 * union, as a share of both sizes: intersection >= 80 / 180 * (a + b).
 PERCENT = 80
 LEAF, FAN, CELL = 16, 8, 2048
+#: Smallest groups of a set that its rows name, to leave a pair to one group.
+HEADS = 4
+#: Bytes of shingles, and pairs, that one cell of the exact comparison takes; the least that a set counts for.
+ROOM, PAIRS, LEAST = 8_000_000, 32_768, 4096
 #: Bits of the widest signature, and bytes of signatures that a traversal holds against others at once.
 WIDEST, STEP = 1 << 16, 8_000_000
 #: Rows of two numbers, about 3 MB, up to which a table of ids is broadcast.
@@ -142,24 +149,25 @@ def _pop(x: np.ndarray) -> np.ndarray:
 
 class Tree:
     """Signatures, level by level: OR of bitmaps, sizes from and to, the most shingles that share a bit with others of their
-    set, components from and to. Level 0 are the sets themselves."""
+    set, components from and to, first groups from and to. Level 0 are the sets themselves."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray, head: np.ndarray):
         extra = n - _pop(bits)
-        self.levels = [(bits, n, n, extra, comp, comp)]
+        self.levels = [(bits, n, n, extra, comp, comp, head, head)]
         fan = LEAF
         while len(self.levels[-1][1]) > 1:
-            b, lo, hi, x, c0, c1 = self.levels[-1]
+            b, lo, hi, x, *ranges = self.levels[-1]
             cut = np.arange(0, len(lo), fan)
-            self.levels.append((np.bitwise_or.reduceat(b, cut, 0), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(x, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut)))
+            self.levels.append((np.bitwise_or.reduceat(b, cut, 0), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(x, cut), *((np.maximum if k % 2 else np.minimum).reduceat(r, cut) for k, r in enumerate(ranges))))
             fan = FAN
 
     def fan(self, level: int) -> int:
         return LEAF if level == 1 else FAN
 
 
-def dual(a: Tree, b: Tree, same: bool, skip: bool):
-    """Pairs (i, j) of sets that may be similar enough, i < j if the trees are the same; with skip none of one component."""
+def dual(a: Tree, b: Tree, same: bool):
+    """Pairs (i, j) of sets that may be similar enough, i < j if the trees are the same; none of one component or of one first
+    group, which is another than this."""
     height = max(len(a.levels), len(b.levels)) - 1
     most = max(256, STEP // (8 * a.levels[0][0].shape[1]))
 
@@ -168,8 +176,8 @@ def dual(a: Tree, b: Tree, same: bool, skip: bool):
         keep = (5 * la[2][i] >= 4 * lb[1][j]) & (5 * lb[2][j] >= 4 * la[1][i])
         if same and level == 0:
             keep &= i < j
-        if skip:
-            keep &= ~((la[4][i] == la[5][i]) & (lb[4][j] == lb[5][j]) & (la[4][i] == lb[4][j]))
+        for lo, hi in ((4, 5), (6, 7)):
+            keep &= ~((la[lo][i] == la[hi][i]) & (lb[lo][j] == lb[hi][j]) & (la[lo][i] == lb[lo][j]))
         i, j = i[keep], j[keep]
         shared = _pop(la[0][i] & lb[0][j])
         # shingles of a set whose bit the other side has: the shared bits, and what falls on a bit once more
@@ -215,8 +223,15 @@ def leaders(bits: np.ndarray, n: np.ndarray, tries: int = 4):
         left = rest[~near]
 
 
-def _group(node, n, least, bits, comp, side, cross: bool, first: bool):
+def elsewhere(x: np.ndarray, y: np.ndarray, token: int) -> np.ndarray:
+    """Whether rows of two tables of heads have a smaller group in common than this one."""
+    x = np.where(x < token, x, -1)
+    return ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
+
+
+def _group(token, node, n, least, bits, comp, heads, side, cross: bool, first: bool):
     """Candidate pairs of nodes among the members of one group or cell."""
+    head = np.where((heads[:, 0] >= 0) & (heads[:, 0] < token), heads[:, 0], -1 - np.arange(len(n)))
     width = np.array([len(b) for b in bits])
     out = []
     for w in np.unique(width):
@@ -230,11 +245,13 @@ def _group(node, n, least, bits, comp, side, cross: bool, first: bool):
             rows, m = (np.concatenate([a, b]), np.concatenate([ma, mb])) if mb is not None else (a, ma)
             out += [(rows[i], rows[j]) for i, j in leaders(m, n[rows])]
             continue
-        ta = Tree(ma, n[a], comp[a])
-        if len(a) > 1:
-            out += [(a[i], a[j]) for i, j in dual(ta, ta, True, True)]
+        ta = Tree(ma, n[a], comp[a], head[a])
+        found = [(a[i], a[j]) for i, j in dual(ta, ta, True)] if len(a) > 1 else []
         if mb is not None:
-            out += [(a[i], b[j]) for i, j in dual(ta, Tree(mb, n[b], comp[b]), False, True)]
+            found += [(a[i], b[j]) for i, j in dual(ta, Tree(mb, n[b], comp[b], head[b]), False)]
+        for i, j in found:
+            keep = ~elsewhere(heads[i], heads[j], token)
+            out.append((i[keep], j[keep]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = map(np.concatenate, zip(*out, strict=True))
@@ -245,13 +262,16 @@ def _group(node, n, least, bits, comp, side, cross: bool, first: bool):
 
 
 def _candidates(groups: DataFrame, marks: DataFrame, first: bool) -> DataFrame:
-    """groups (token, node, comp), marks (node, n, least, bits) -> distinct pairs (a, b) that may be similar enough."""
+    """groups (token, node, comp), marks (node, n, least, bits) -> distinct pairs (a, b) that may be similar enough, and the
+    smallest group (token) that found them. But for the first pass, a pair is left to a smaller group if one is known."""
+    heads = F.array().cast("array<long>") if first else F.slice(F.array_sort(F.collect_list("token")), 1, HEADS)
+    marks = marks.withColumn("heads", heads) if first else marks.join(groups.groupBy("node").agg(heads.alias("heads")), "node")
     size = groups.groupBy("token").agg(F.count("*").alias("c"))
     cells = size.select("token", F.ceil(F.col("c") / CELL).cast("int").alias("k"))
     rows = groups.join(cells, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     # with k lines a member goes to the k cells of its line: (own, x) from own on, (x, own) before it
     rows = rows.withColumn("x", F.explode(F.expr("sequence(0, k - 1)"))).select("token", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "comp")
-    rows = rows.join(marks, "node").select("token", "i", "j", "own", "node", "n", "least", "comp", "bits")
+    rows = rows.join(marks, "node").select("token", "i", "j", "own", "node", "n", "least", "comp", "heads", "bits")
 
     def work(batches):
         rest = None
@@ -270,42 +290,67 @@ def _candidates(groups: DataFrame, marks: DataFrame, first: bool) -> DataFrame:
             return
         token, i, j, own, node, n, least, comp = (t[k].to_numpy() for k in ("token", "i", "j", "own", "node", "n", "least", "comp"))
         bits, out = t["bits"].combine_chunks().to_pylist(), []
+        lists = t["heads"].combine_chunks()
+        count, heads = lists.value_lengths().to_numpy(), np.full((len(t), HEADS), -1)
+        heads[np.arange(HEADS) < count[:, None]] = lists.flatten().to_numpy()
         cuts = np.flatnonzero(np.append(True, (np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(token)], strict=True):
             if hi - lo > 1:
                 s = slice(lo, hi)
-                out.append(_group(node[s], n[s], least[s], bits[lo:hi], comp[s], own[s], bool(i[lo] != j[lo]), first))
+                a, b = _group(token[lo], node[s], n[s], least[s], bits[lo:hi], comp[s], heads[s], own[s], bool(i[lo] != j[lo]), first)
+                out.append((a, b, np.full(len(a), token[lo])))
         if out:
-            a, b = map(np.concatenate, zip(*out, strict=True))
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            a, b, found = map(np.concatenate, zip(*out, strict=True))
+            order = np.lexsort((found, b, a))
+            a, b, found = a[order], b[order], found[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, found)], ["a", "b", "token"])
 
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(work, "a long, b long").distinct()
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(work, "a long, b long, token long").groupBy("a", "b").agg(F.min("token").alias("token"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame) -> DataFrame:
-    """The pairs that are similar enough, shingle by shingle. owner: node, doc_id of one document that has it."""
+def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that are similar enough, shingle by shingle. owner: node, doc_id of one document that has it.
+
+    A group's pairs are dealt into cells, k lines by k, so that a cell's sets and pairs are bounded; a set's shingles go once
+    to each cell that has pairs of it."""
     pairs = stash(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    whole = stash(_whole_sets(docs, nodes.join(owner, "node")))
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    whole = stash(_whole_sets(docs, _ends(pairs).distinct().join(owner, "node")))
+    room = _ends(pairs, "token").distinct().join(marks.select("node", "n"), "node").groupBy("token").agg(F.ceil(F.sum(F.greatest(F.col("n") * 6, F.lit(LEAST))) / ROOM).alias("k"))
+    many = pairs.groupBy("token").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).alias("m"))
+    lines = room.join(many, "token").select("token", F.greatest("k", "m").cast("int").alias("k"))
+    cells = stash(pairs.join(lines, "token").select("token", *(F.pmod(F.xxhash64(c), F.col("k")).cast("int").alias(f"l{c}") for c in "ab"), "a", "b"))
+    key = ["token", "la", "lb"]
+    sets = _ends(cells, *key).distinct().join(whole, "node").select(*key, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    rows = sets.union(cells.select("*", F.lit(None).cast("binary"))).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("b"))
 
     def work(batches):
+        at, held = None, {}
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = unpack(x), unpack(y)
-                z = np.concatenate([x, y])
-                z.sort()
-                inter = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * inter >= PERCENT * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = stash(both.mapInArrow(work, "a long, b long"))
-    discard(pairs, whole)
+            ok = np.zeros(len(batch), bool)
+            for i, (token, la, lb, a, b, tokens) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if (token, la, lb) != at:
+                    at, held = (token, la, lb), {}
+                if b is None:
+                    held[a] = unpack(tokens)
+                elif a in held and b in held:
+                    x, y = held[a], held[b]
+                    z = np.concatenate([x, y])
+                    z.sort(kind="stable")
+                    inter = int(np.count_nonzero(z[1:] == z[:-1]))
+                    ok[i] = 100 * inter >= PERCENT * (len(x) + len(y) - inter)
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4)], ["a", "b"]).filter(pa.array(ok))
+
+    out = stash(rows.mapInArrow(work, "a long, b long"))
+    discard(pairs, whole, cells)
     return out
 
 
+def _ends(pairs: DataFrame, *key: str) -> DataFrame:
+    return pairs.select(*key, F.col("a").alias("node")).union(pairs.select(*key, "b"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
 
@@ -323,7 +368,7 @@ def join(docs: DataFrame) -> DataFrame:
     discard(every)
     owner = sets.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     marks = stash(sets.select("node", "n", "least", "bits", "few").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = _verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner)
+    links = _verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner, marks)
     release(spark)
     comp = components(links)
     labelled = groups.join(comp.select("node", F.col("component").alias("c")), "node", "left").select("token", "node", F.coalesce("c", "node").alias("comp"))
@@ -332,7 +377,7 @@ def join(docs: DataFrame) -> DataFrame:
     del comp, labelled, mixed
     discard(groups)
     release(spark)
-    more = _verified(_candidates(open_, marks.drop("few"), first=False), docs, owner)
+    more = _verified(_candidates(open_, marks.drop("few"), first=False), docs, owner, marks)
     discard(open_, marks)
     release(spark)
     # documents hang on their sets; rows of one doc_id hang together
