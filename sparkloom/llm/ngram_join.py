@@ -1,7 +1,8 @@
 """N-gram Jaccard join by signature trees: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
 A set's shingles stand in one order, that of their hashes. Two sets that similar share a shingle among the first fifth of
-each, so pairs meet in the group of such a shingle. Within a group a signature tree is built over the members: each node
+each, so pairs meet in the group of such a shingle. The further on a shingle stands, the smaller a partner must be that has
+it as the first one shared: a set stays in a group only if that has one so small. Within a group a signature tree is built over the members: each node
 holds the bitwise OR of the bitmaps below it and their range of sizes, and a dual traversal of the tree with itself leaves
 out pairs of nodes whose largest possible overlap is below what their sizes ask for. What is left is compared shingle by
 shingle. Equal sets are one node. A first pass over the groups links most members to a leader, so that the traversal can
@@ -26,7 +27,9 @@ from .components import components
 WIDTH = 5
 #: 100 * intersection >= 80 * union, as a share of both sizes: intersection >= 80 / 180 * (a + b).
 PERCENT = 80
-LEAF, FAN, CELL = 16, 8, 2048
+LEAF, FAN = 16, 8
+#: Bytes of signatures that a line of a group's cells takes, and the least that a set counts for.
+CELL, MARK = 4_000_000, 512
 #: Smallest groups of a set that its rows name, to leave a pair to one group.
 HEADS = 4
 #: Bytes of shingles, and pairs, that one cell of the exact comparison takes; the least that a set counts for.
@@ -98,18 +101,22 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """token, node: the first shingles of each set."""
+    """token, node, n, most: the first shingles of each set, and the size up to which a partner may have this as the first one
+    shared: both have at least 80 / 180 of the sizes' sum from there on."""
 
     def work(batches):
         for batch in batches:
             for _, raw, offs in slices(batch.column(0)):
                 tokens, at = shingles(raw, offs)
-                n = prefix(np.diff(at))
+                size = np.diff(at)
+                n = prefix(size)
                 ends = np.cumsum(n)
-                pick = np.repeat(at[:-1] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[pick]), pa.array(np.repeat(_node(tokens, at), n))], ["token", "node"])
+                place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+                whole = np.repeat(size, n)
+                most = (100 + PERCENT) * (whole - place) // PERCENT - whole
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[np.repeat(at[:-1], n) + place]), pa.array(np.repeat(_node(tokens, at), n)), pa.array(whole.astype(np.int32)), pa.array(most.astype(np.int32))], ["token", "node", "n", "most"])
 
-    return docs.select("text").mapInArrow(work, "token long, node long")
+    return docs.select("text").mapInArrow(work, "token long, node long, n int, most int").where("node <> 0")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -262,12 +269,12 @@ def _group(token, node, n, least, bits, comp, heads, side, cross: bool, first: b
 
 
 def _candidates(groups: DataFrame, marks: DataFrame, first: bool) -> DataFrame:
-    """groups (token, node, comp), marks (node, n, least, bits) -> distinct pairs (a, b) that may be similar enough, and the
+    """groups (token, node, n, comp), marks (node, n, least, bits) -> distinct pairs (a, b) that may be similar enough, and the
     smallest group (token) that found them. But for the first pass, a pair is left to a smaller group if one is known."""
     heads = F.array().cast("array<long>") if first else F.slice(F.array_sort(F.collect_list("token")), 1, HEADS)
     marks = marks.withColumn("heads", heads) if first else marks.join(groups.groupBy("node").agg(heads.alias("heads")), "node")
-    size = groups.groupBy("token").agg(F.count("*").alias("c"))
-    cells = size.select("token", F.ceil(F.col("c") / CELL).cast("int").alias("k"))
+    room = F.greatest(F.least("n", F.lit(WIDEST // 8)), F.lit(MARK))  # a signature has n bytes at most
+    cells = groups.groupBy("token").agg(F.ceil(F.sum(room) / CELL).cast("int").alias("k"))
     rows = groups.join(cells, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     # with k lines a member goes to the k cells of its line: (own, x) from own on, (x, own) before it
     rows = rows.withColumn("x", F.explode(F.expr("sequence(0, k - 1)"))).select("token", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "comp")
@@ -358,12 +365,12 @@ def join(docs: DataFrame) -> DataFrame:
     node. A null doc_id takes part in no link but with texts of the same shingles, and names no component: else its own is null."""
     spark = docs.sparkSession
     sets = stash(_sets(docs))
-    useful = _tokens(docs).where("node <> 0").groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    groups = stash(_tokens(docs).where("node <> 0").join(useful, "token", "left_semi").distinct())
+    useful = _tokens(docs).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi").select("token", "smallest")
+    groups = stash(_tokens(docs).join(useful, "token").where("most >= smallest").select("token", "node", "n").distinct())
     release(spark)
     # groups with the same members tell the same: one of them stays
     twin = groups.groupBy("token").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    kept = twin.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
+    kept = twin.where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
     every, groups = groups, stash(groups.join(kept, "token", "left_semi"))
     discard(every)
     owner = sets.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -371,7 +378,7 @@ def join(docs: DataFrame) -> DataFrame:
     links = _verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner, marks)
     release(spark)
     comp = components(links)
-    labelled = groups.join(comp.select("node", F.col("component").alias("c")), "node", "left").select("token", "node", F.coalesce("c", "node").alias("comp"))
+    labelled = groups.join(comp.select("node", F.col("component").alias("c")), "node", "left").select("token", "node", "n", F.coalesce("c", "node").alias("comp"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     open_ = stash(labelled.join(mixed, "token", "left_semi"))
     del comp, labelled, mixed

@@ -130,7 +130,7 @@ def test_ngram_join_near_the_threshold(spark, monkeypatch, small):
                 words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
             rows.append((len(rows), " ".join(words[rng.randrange(3) :])))
     if small:
-        for name, value in (("CELL", 8), ("ROOM", 20_000), ("PAIRS", 5), ("BROADCAST_ROWS", 0)):
+        for name, value in (("CELL", 4000), ("ROOM", 20_000), ("PAIRS", 5), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(ngram_join, name, value)
     want, links = brute_join(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
