@@ -17,6 +17,7 @@ import itertools
 import json
 import unicodedata
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -78,11 +79,10 @@ class Table:
 
 
 class Model:
-    """The tables of one tokenizer; small arrays, bounded by the vocabulary, that are sent to the workers once."""
+    """The tables of one tokenizer, bounded by the vocabulary; each worker builds them once from the file's bytes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, data: bytes):
+        spec = json.loads(data)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -330,7 +330,7 @@ def _coded(shared, key: str) -> Coder:
     """One per worker and model."""
     if key not in _coder:
         _coder.clear()
-        _coder[key] = Coder(shared.value)
+        _coder[key] = Coder(Model(shared.value))
     return _coder[key]
 
 
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
     Null and empty texts have no ids and decode to an empty text. Rows are encoded one by one, so repeated rows, null
     doc_ids, further columns and very long texts need no care; memory follows the longest text and the kept words."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(Model(path)), uuid.uuid4().hex
+    shared, key = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes()), uuid.uuid4().hex
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
 
     def sha(col: pa.Array) -> pa.Array:
