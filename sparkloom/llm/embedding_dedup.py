@@ -3,8 +3,9 @@
 Neighbour lists start from rows that stand together in the order of random hyperplane codes, and are refined by
 neighbours-of-neighbours joins: what meets in one vector's list, to or from it, is compared, and better neighbours move
 in. A list keeps its best K, and every neighbour at or above the threshold beyond that: a saturated list grows. A stated
-set of vectors, compared with all, audits recall; rounds go on until it is met. Links inside a component are then counted
-exactly, block by block, in double precision."""
+set of vectors, compared with all, audits recall. While it is not met, fresh tables of codes are added and lists and joins
+double; where a join would then compare as many pairs as there are, all vectors are compared with all instead. Links inside
+a component are then counted exactly, block by block, in double precision."""
 
 from __future__ import annotations
 
@@ -13,15 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import release, stash, table
+from ._io import discard, release, stash, table
 from .components import components
 
 THRESHOLD = 0.9
-#: Length of a list, members of one join, tables of codes and their bits, rows of a code block and neighbours taken there.
+#: At first: length of a list, members of one join, tables of codes and their bits, rows of a code block and neighbours taken there.
 K, JOIN, TABLES, BITS, BLOCK, TAKE = 8, 32, 8, 24, 64, 3
-LEAST_ROUNDS, MOST_ROUNDS, AUDIT, RECALL = 2, 8, 128, 0.99
+ROUNDS, AUDIT, RECALL = 2, 128, 0.99
 #: Members of one side of an exact comparison.
 EXACT = 1024
+#: Bytes of the vectors that are compared with all at once, and rows of one product with them.
+ASK, ROWS = 1 << 23, 256
 _SLACK = 1e-5  # joins run in single precision; what they find is judged again in double
 
 
@@ -55,8 +58,8 @@ def _pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], ["a", "b", "s"])
 
 
-def _start(v: DataFrame) -> DataFrame:
-    """Pairs (a, b, s) from runs of rows in the order of each table of codes."""
+def _start(v: DataFrame, level: int) -> DataFrame:
+    """Pairs (a, b, s) from runs of rows in the order of each table of codes; a level has tables of its own."""
 
     def codes(batches):
         for batch in batches:
@@ -64,7 +67,7 @@ def _start(v: DataFrame) -> DataFrame:
             for dim in sorted(set(batch.column(1).to_pylist())):
                 at = np.flatnonzero(batch.column(1).to_numpy() == dim)
                 m = np.frombuffer(b"".join([x[i] for i in at]), np.float32).reshape(-1, dim)
-                planes = np.random.default_rng(dim).standard_normal((dim, TABLES * BITS)).astype(np.float32)
+                planes = np.random.default_rng([dim, level]).standard_normal((dim, TABLES * BITS)).astype(np.float32)
                 bits = (m @ planes > 0).reshape(len(at), TABLES, BITS) @ (1 << np.arange(BITS))
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), batch.column(1).take(pa.array(at)), pa.array(bits[:, t]), batch.column(0).take(pa.array(at)), batch.column(2).take(pa.array(at))], ["t", "dim", "code", "node", "vec"])
@@ -90,17 +93,17 @@ def _start(v: DataFrame) -> DataFrame:
     return coded.repartitionByRange("t", "dim", "code", "node").sortWithinPartitions("t", "dim", "code", "node").mapInArrow(meet, "a long, b long, s float")
 
 
-def _lists(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The best K of each node, and all at or above the threshold."""
+def _lists(pairs: DataFrame, threshold: float, keep: int) -> DataFrame:
+    """The best `keep` of each node, and all at or above the threshold."""
     both = pairs.union(pairs.select("b", "a", "s")).groupBy("a", "b").agg(F.max("s").alias("s"))
     high, low = F.col("s") >= threshold - _SLACK, Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    return both.withColumn("n", F.row_number().over(low)).where(high | (F.col("n") <= K)).drop("n")
+    return both.withColumn("n", F.row_number().over(low)).where(high | (F.col("n") <= keep)).drop("n")
 
 
-def _round(lists: DataFrame, v: DataFrame, turn: int, threshold: float) -> DataFrame:
+def _round(lists: DataFrame, v: DataFrame, turn: int, threshold: float, most: int) -> DataFrame:
     near = lists.select(F.col("a").alias("c"), F.col("b").alias("m")).union(lists.select("b", "a")).union(v.select("node", "node")).distinct()
     order = Window.partitionBy("c").orderBy(F.xxhash64(F.lit(turn), "c", "m"), "m")
-    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= JOIN)
+    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     met = near.join(v.select("node", "dim", "vec"), F.col("m") == F.col("node")).select("c", "m", "dim", "vec")
 
     def work(batches):
@@ -155,10 +158,55 @@ def _recall(lists: DataFrame, v: DataFrame, threshold: float) -> float:
     return hit / n if n else 1.0
 
 
-def _degrees(links: DataFrame, v: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of linked nodes, and (node, others): copies of other nodes at or above the threshold in its
-    component, by exact comparison of blocks of at most about 1,024 members with each other."""
-    comp = components(links)
+def _links(lists: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
+    """Of the lists, the pairs (a, b) at or above the threshold in double precision."""
+    x = v.select("node", "exact")
+    pairs = lists.where((F.col("s") >= threshold - _SLACK) & (F.col("a") < F.col("b"))).select("a", "b")
+    pairs = pairs.join(x.select(F.col("node").alias("a"), F.col("exact").alias("xa")), "a").join(x.select(F.col("node").alias("b"), F.col("exact").alias("xb")), "b")
+
+    def exact(batches):
+        for batch in batches:
+            xa, xb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            s = np.array([len(p) == len(q) and float(np.frombuffer(p) @ np.frombuffer(q)) >= threshold for p, q in zip(xa, xb, strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(s))
+
+    return stash(pairs.select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long"))
+
+
+def _rest(v: DataFrame, comp: DataFrame, n: int, threshold: float) -> DataFrame:
+    """All nodes compared with all, in double precision: links (a, b) between different components. A batch gives one link
+    of a node to a component, as those inside one are counted later."""
+    if not n:
+        return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).limit(0)
+    parts = -(-n * 8 * v.agg(F.max("dim")).first()[0] // ASK)
+    x = v.select("node", "dim", "exact").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    x = stash(x.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")))
+    found = None
+    for part in range(parts):
+        asked = x.where(F.col("part") == part).select("node", "dim", "exact", "component").toPandas()
+        sets = {d: (g["node"].to_numpy(), g["component"].to_numpy(), _matrix(pa.array(g["exact"]), np.float64)) for d, g in asked.groupby("dim")}
+
+        def work(batches, sets=sets):
+            for batch in batches:
+                node, dim, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+                for d, (q, comps, y) in sets.items():
+                    at, out = np.flatnonzero(dim == d), []
+                    for lo in range(0, len(at), ROWS):
+                        some = at[lo : lo + ROWS]
+                        i, j = np.nonzero((_matrix(batch.column(2).take(pa.array(some)), np.float64) @ y.T >= threshold) & (own[some][:, None] != comps))
+                        one = np.unique(np.stack([j, own[some[i]]]), axis=1, return_index=True)[1]
+                        out.append((q[j[one]], node[some[i[one]]]))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(np.concatenate, zip(*out, strict=True))], ["a", "b"])
+
+        links = stash(x.where(F.col("part") >= part).select("node", "dim", "exact", "component").mapInArrow(work, "a long, b long"))
+        found = links if found is None else found.union(links)
+    return found
+
+
+def _degrees(comp: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
+    """(node, others): copies of other nodes at or above the threshold in its component, by exact comparison of blocks of
+    at most about 1,024 members with each other."""
     size = comp.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / EXACT)).cast("int").alias("k"))
     rows = comp.join(size, "component").join(v.select("node", "w", "dim", "exact"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("at", F.explode(F.expr("sequence(0, k - 1)")))
@@ -177,20 +225,28 @@ def _degrees(links: DataFrame, v: DataFrame, threshold: float) -> tuple[DataFram
         return pa.table({"node": a, "others": b})
 
     cells = rows.groupBy("component", "i", "j").applyInArrow(work, "node long, others long")
-    return comp, cells.groupBy("node").agg(F.sum("others").alias("others"))
+    return cells.groupBy("node").agg(F.sum("others").alias("others"))
 
 
 def graph(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, members, lists) once the audit's recall is met or the rounds are over."""
+    """(nodes, members, (node, component) of linked nodes), once the audit's recall is met or all are compared with all."""
     spark = vectors.sparkSession
     v, members = nodes(vectors)
-    lists = stash(_lists(_start(v), threshold))
-    for turn in range(MOST_ROUNDS):
-        lists = stash(_lists(_round(lists, v, turn, threshold).union(lists), threshold))
-        release(spark)
-        if turn + 1 >= LEAST_ROUNDS and _recall(lists, v, threshold) >= RECALL:
-            break
-    return v, members, lists
+    n, keep, most, level, lists = v.count(), K, JOIN, 0, None
+    while True:
+        pairs = _start(v, level)
+        old, lists = lists, stash(_lists(pairs if lists is None else pairs.union(lists), threshold, keep))
+        for turn in range(level * ROUNDS, (level + 1) * ROUNDS):
+            discard(*[old] if old is not None else [])
+            old, lists = lists, stash(_lists(_round(lists, v, turn, threshold, most).union(lists), threshold, keep))
+            release(spark)
+        discard(old)
+        if _recall(lists, v, threshold) >= RECALL:
+            return v, members, components(_links(lists, v, threshold))
+        keep, most, level = 2 * keep, 2 * most, level + 1
+        if most * most >= n:
+            links = _links(lists, v, threshold)
+            return v, members, components(links.union(_rest(v, components(links), n, threshold)))
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,19 +255,8 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Vectors link at a cosine of threshold or more, in double precision, whatever their labels; those of different lengths
     do not. Null, zero, empty or not wholly finite vectors link with nothing and are kept; equal vectors link with each
     other. A null vec_id has no component. Repeated rows of one vec_id are copies like others."""
-    v, members, lists = graph(vectors, threshold)
-    x = v.select("node", "exact")
-    pairs = lists.where((F.col("s") >= threshold - _SLACK) & (F.col("a") < F.col("b"))).select("a", "b")
-    pairs = pairs.join(x.select(F.col("node").alias("a"), F.col("exact").alias("xa")), "a").join(x.select(F.col("node").alias("b"), F.col("exact").alias("xb")), "b")
-
-    def exact(batches):
-        for batch in batches:
-            xa, xb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            s = np.array([len(p) == len(q) and float(np.frombuffer(p) @ np.frombuffer(q)) >= threshold for p, q in zip(xa, xb, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(s))
-
-    links = stash(pairs.select("a", "b", "xa", "xb").mapInArrow(exact, "a long, b long"))
-    comp, others = _degrees(links, v, threshold)
+    v, members, comp = graph(vectors, threshold)
+    others = _degrees(comp, v, threshold)
     per = v.select("node", "w").join(comp, "node", "left").join(others, "node", "left")
     out = members.join(per, "node", "left")
     return out.select("vec_id", F.coalesce(F.col("others") + F.col("w") - 1, F.col("w") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

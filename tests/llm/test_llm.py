@@ -183,6 +183,18 @@ def test_embedding_dedup(spark):
     assert got[len(x) - 1].component_id == got[5].component_id
 
 
+def test_embedding_links_that_lists_miss_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((60, 32)), 2, 0)
+    x[1::2] += 0.2 * rng.standard_normal((60, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(embedding_dedup, "_start", lambda v, *_: v.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).cast("float").alias("s")).limit(0))
+    monkeypatch.setattr(embedding_dedup, "_round", lambda lists, *_: lists)
+    got = embedding_dedup.dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    s = x @ x.T >= 0.9
+    assert s.sum() > 160 and {r.vec_id: r.n_links for r in got} == dict(enumerate(s.sum(1) - 1))
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.standard_normal((400, 8)), np.repeat(rng.standard_normal((1, 8)), 60, 0)]).astype(np.float32)
