@@ -2,13 +2,16 @@
 
 Neighbour lists start from rows that stand together in the order of random hyperplane codes, and are refined by
 neighbours-of-neighbours joins: what meets in one vector's list, to or from it, is compared, and better neighbours move
-in. A list keeps its best K, and every neighbour at or above the threshold beyond that: a saturated list grows. A stated
-set of vectors, compared with all, audits recall. While it is not met, fresh tables of codes are added and lists and joins
-double; where a join would then compare as many pairs as there are, all vectors are compared with all instead. Links inside
-a component are then counted exactly, block by block, in double precision."""
+in. A list keeps its best K, and every neighbour at or above the threshold beyond that: a saturated list grows. Vectors
+drawn by a hash until 256 of them have links, compared with all, audit recall; a table that has to be drawn whole for that
+is answered by the comparison. While recall is not met, fresh tables of codes are added and lists and joins double; where a
+join would then compare as many pairs as there are, all vectors are compared with all instead. Links inside a component are
+then counted exactly, block by block, in double precision."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,7 +23,9 @@ from .components import components
 THRESHOLD = 0.9
 #: At first: length of a list, members of one join, tables of codes and their bits, rows of a code block and neighbours taken there.
 K, JOIN, TABLES, BITS, BLOCK, TAKE = 8, 32, 8, 24, 64, 3
-ROUNDS, AUDIT, RECALL = 2, 128, 0.99
+ROUNDS, RECALL = 2, 0.99
+#: Vectors of one draw of the audit, and of those with links at which it ends.
+AUDIT, LINKED = 256, 256
 #: Members of one side of an exact comparison.
 EXACT = 1024
 #: Bytes of the vectors that are compared with all at once, and rows of one product with them.
@@ -138,24 +143,49 @@ def _round(lists: DataFrame, v: DataFrame, turn: int, threshold: float, most: in
     return met.repartition("c").sortWithinPartitions("c", "dim").mapInArrow(work, "a long, b long, s float")
 
 
-def _recall(lists: DataFrame, v: DataFrame, threshold: float) -> float:
-    """Of the links of a stated set of nodes (the first 128 by a hash), compared with all, the share in the lists."""
-    asked = v.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "dim", "exact").toPandas()
-    sets = {d: (g["node"].to_numpy(), np.frombuffer(b"".join(g["exact"]), np.float64).reshape(len(g), -1)) for d, g in asked.groupby("dim")}
+def _compare(x: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) in double precision of asked nodes to nodes of other components. A batch gives one link of a node to a
+    component, as those inside one are counted later."""
+    asked = asked.select("node", "dim", "exact", "component").toPandas()
+    sets = {d: (g["node"].to_numpy(), g["component"].to_numpy(), _matrix(pa.array(g["exact"]), np.float64)) for d, g in asked.groupby("dim")}
 
     def work(batches):
         for batch in batches:
-            node, dim = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for d, (q, x) in sets.items():
-                at = np.flatnonzero(dim == d)
-                if len(at):
-                    i, j = np.nonzero(_matrix(batch.column(2).take(pa.array(at)), np.float64) @ x.T >= threshold)
-                    keep = node[at[i]] != q[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[j][keep]), pa.array(node[at[i]][keep])], ["a", "b"])
-
-    true = v.select("node", "dim", "exact").mapInArrow(work, "a long, b long")
-    n, hit = true.join(lists.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return hit / n if n else 1.0
+            node, dim, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            for d, (q, comps, y) in sets.items():
+                at, out = np.flatnonzero(dim == d), []
+                for lo in range(0, len(at), ROWS):
+                    some = at[lo : lo + ROWS]
+                    i, j = np.nonzero((_matrix(batch.column(2).take(pa.array(some)), np.float64) @ y.T >= threshold) & (own[some][:, None] != comps))
+                    one = np.unique(np.stack([j, own[some[i]]]), axis=1, return_index=True)[1]
+                    out.append((q[j[one]], node[some[i[one]]]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(np.concatenate, zip(*out, strict=True))], ["a", "b"])
+
+    return stash(x.select("node", "dim", "exact", "component").mapInArrow(work, "a long, b long"))
+
+
+def _truth(v: DataFrame, n: int, threshold: float) -> tuple[DataFrame, bool]:
+    """All links (a, b) of the nodes drawn, and whether all nodes were: draws double until LINKED nodes have a link."""
+    parts, width = max(1, -(-n // AUDIT)), v.agg(F.max("dim")).first()[0] or 1
+    x = v.select("node", "dim", "exact", F.col("node").alias("component"), F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
+    truth, lo, step = None, 0, 1
+    while lo < parts:
+        links = _compare(x, x.where(F.col("part").between(lo, lo + step - 1)), threshold)
+        truth = links if truth is None else truth.union(links)
+        lo, step = lo + step, min(2 * step, max(1, ASK // (AUDIT * 8 * width)))
+        if truth.select("a").distinct().count() >= LINKED:
+            break
+    return truth, lo >= parts
+
+
+def _recall(truth: DataFrame, comp: DataFrame) -> tuple[float, DataFrame]:
+    """Of the links of a node of the audit, the share with both ends in one component, where links are counted exactly: its
+    mean over the nodes that have links; and the links without."""
+    ends = truth.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    ends = ends.select("a", "b", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("hit"))
+    share = ends.groupBy("a").agg(F.avg(F.col("hit").cast("double")).alias("share")).agg(F.avg("share")).first()[0]
+    return (0.0 if share is None else share), ends.where("not hit").select("a", "b")
 
 
 def _links(lists: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
@@ -174,34 +204,12 @@ def _links(lists: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rest(v: DataFrame, comp: DataFrame, n: int, threshold: float) -> DataFrame:
-    """All nodes compared with all, in double precision: links (a, b) between different components. A batch gives one link
-    of a node to a component, as those inside one are counted later."""
-    if not n:
-        return comp.select(F.col("node").alias("a"), F.col("component").alias("b")).limit(0)
+    """All nodes compared with all: links (a, b) between different components."""
     parts = -(-n * 8 * v.agg(F.max("dim")).first()[0] // ASK)
     x = v.select("node", "dim", "exact").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    x = stash(x.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")))
-    found = None
-    for part in range(parts):
-        asked = x.where(F.col("part") == part).select("node", "dim", "exact", "component").toPandas()
-        sets = {d: (g["node"].to_numpy(), g["component"].to_numpy(), _matrix(pa.array(g["exact"]), np.float64)) for d, g in asked.groupby("dim")}
-
-        def work(batches, sets=sets):
-            for batch in batches:
-                node, dim, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
-                for d, (q, comps, y) in sets.items():
-                    at, out = np.flatnonzero(dim == d), []
-                    for lo in range(0, len(at), ROWS):
-                        some = at[lo : lo + ROWS]
-                        i, j = np.nonzero((_matrix(batch.column(2).take(pa.array(some)), np.float64) @ y.T >= threshold) & (own[some][:, None] != comps))
-                        one = np.unique(np.stack([j, own[some[i]]]), axis=1, return_index=True)[1]
-                        out.append((q[j[one]], node[some[i[one]]]))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(np.concatenate, zip(*out, strict=True))], ["a", "b"])
-
-        links = stash(x.where(F.col("part") >= part).select("node", "dim", "exact", "component").mapInArrow(work, "a long, b long"))
-        found = links if found is None else found.union(links)
-    return found
+    x = stash(x.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))))
+    found = [_compare(x.where(F.col("part") >= part), x.where(F.col("part") == part), threshold) for part in range(parts)]
+    return reduce(DataFrame.union, found)
 
 
 def _degrees(comp: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
@@ -233,6 +241,9 @@ def graph(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     spark = vectors.sparkSession
     v, members = nodes(vectors)
     n, keep, most, level, lists = v.count(), K, JOIN, 0, None
+    truth, whole = _truth(v, n, threshold)
+    if whole:
+        return v, members, components(truth)
     while True:
         pairs = _start(v, level)
         old, lists = lists, stash(_lists(pairs if lists is None else pairs.union(lists), threshold, keep))
@@ -241,12 +252,14 @@ def graph(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
             old, lists = lists, stash(_lists(_round(lists, v, turn, threshold, most).union(lists), threshold, keep))
             release(spark)
         discard(old)
-        if _recall(lists, v, threshold) >= RECALL:
-            return v, members, components(_links(lists, v, threshold))
+        links = _links(lists, v, threshold)
+        comp = components(links)
+        recall, missed = _recall(truth, comp)
+        if recall >= RECALL:
+            return v, members, comp if missed.isEmpty() else components(links.union(missed))
         keep, most, level = 2 * keep, 2 * most, level + 1
         if most * most >= n:
-            links = _links(lists, v, threshold)
-            return v, members, components(links.union(_rest(v, components(links), n, threshold)))
+            return v, members, components(links.union(_rest(v, comp, n, threshold)))
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -190,11 +190,34 @@ def test_embedding_links_that_lists_miss_are_found(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1)[:, None]
     monkeypatch.setattr(embedding_dedup, "_start", lambda v, *_: v.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).cast("float").alias("s")).limit(0))
     monkeypatch.setattr(embedding_dedup, "_round", lambda lists, *_: lists)
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 16)
+    monkeypatch.setattr(embedding_dedup, "LINKED", 8)
     got = embedding_dedup.dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
     s = x @ x.T >= 0.9
     assert s.sum() > 160 and {r.vec_id: r.n_links for r in got} == dict(enumerate(s.sum(1) - 1))
 
 
+def test_embedding_audit_without_links_is_not_passed(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 32))
+    x[[3, 400]] = x[[700, 850]] + 0.1 * rng.standard_normal((2, 32))
+    monkeypatch.setattr(embedding_dedup, "_start", lambda v, *_: v.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).cast("float").alias("s")).limit(0))
+    monkeypatch.setattr(embedding_dedup, "_round", lambda lists, *_: lists)
+    got = embedding_dedup.dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id for r in got if r.n_links} == {3, 400, 700, 850}
+
+
+def test_embedding_lists_meet_a_small_audit(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((300, 32)), 4, 0) + 0.15 * rng.standard_normal((1200, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 32)
+    monkeypatch.setattr(embedding_dedup, "LINKED", 32)
+    monkeypatch.setattr(embedding_dedup, "_rest", None)
+    got = embedding_dedup.dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links for r in got) >= 0.99 * ((x @ x.T >= 0.9).sum() - 1200)
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.standard_normal((400, 8)), np.repeat(rng.standard_normal((1, 8)), 60, 0)]).astype(np.float32)
