@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,15 +14,20 @@ from ..functions.vectors import dot
 IDEAL = 1 + 1 / math.log2(3)
 #: Anchors of the reward, fixed values.
 BEST_NDCG, BEST_RATIO = 0.715285038072705, 1.3515515495176977
+#: Queries of one block of a top-k, about.
 MOST = 10_000
 
 
 def top_k(queries: DataFrame, panel: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """queries (query_id, q): a stated set of at most MOST rows, broadcast; panel (vec_id, v); unit vectors -> query_id, vec_id,
-    score, rank. Ties go to the smaller id; without a condition a vector is not ranked for itself. A task keeps k rows a query
-    before the shuffle (WindowGroupLimit)."""
-    if queries.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"more than {MOST} queries: ask in parts")
+    """queries (query_id, q): a stated set, broadcast in blocks of about MOST rows; panel (vec_id, v); unit vectors -> query_id,
+    vec_id, score, rank. Ties go to the smaller id; without a condition a vector is not ranked for itself. A task keeps k rows
+    a query before the shuffle (WindowGroupLimit)."""
+    parts = max(1, math.ceil(queries.count() / MOST))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return reduce(DataFrame.union, [_top_k(queries.where(block == i) if parts > 1 else queries, panel, k, where) for i in range(parts)])
+
+
+def _top_k(queries: DataFrame, panel: DataFrame, k: int, where: Column | None) -> DataFrame:
     pairs = panel.join(F.broadcast(queries), where if where is not None else F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("score", dot(F.col("q"), F.col("v"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")

@@ -44,6 +44,14 @@ def test_top_k_ties_go_to_the_smaller_id(spark):
     assert [(r.vec_id, r["rank"]) for r in ranking.top_k(q, p, 2).orderBy("rank").collect()] == [(3, 1), (5, 2)]
 
 
+def test_top_k_asks_more_queries_than_a_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MOST", 3)
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "query_id long, q array<float>")
+    p = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "vec_id long, v array<float>")
+    got = {(r.query_id, r["rank"], r.vec_id) for r in ranking.top_k(q, p, 2).collect()}
+    assert got == {(i, n + 1, v) for i in range(1, 10) for n, v in enumerate([v for v in range(9, -1, -1) if v != i][:2])} | {(0, 1, 1), (0, 2, 2)}
+
+
 def test_unranked_support_gains_nothing(spark):
     ranked = spark.createDataFrame([(1, 10, 1)], "query_id long, vec_id long, rank int")
     sup = spark.createDataFrame([(1, 0, 10), (1, 0, 11)], "query_id long, kind int, vec_id long")
