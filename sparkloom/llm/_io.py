@@ -1,14 +1,16 @@
-"""Shared plumbing: whole-table reads, stashed tables in the shared folder, early release of shuffle files."""
+"""Shared plumbing: whole-table reads, stashed tables in the shared folder."""
 
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_stashed: list[tuple[SparkSession, str]] = []
+#: Spark's setting that shuffle files go when the query that wrote them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_stashed: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local mode) one below the warehouse."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stash"
+    """The folder in spark.checkpoint.dir; where it is unset, in local mode only, one below the warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stash"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; the shuffle files of its plan go with the end of the write."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -26,8 +41,8 @@ def stash(df: DataFrame) -> DataFrame:
     cost only a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stashed.append((spark, path))
+    _stashed[path] = spark
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
@@ -36,25 +51,20 @@ def stash(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete stashed tables that no plan reads any more."""
     for t in tables:
-        _delete(t.sparkSession, t.stash_path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        delete(t.sparkSession, t.stash_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _stashed.pop(path, None)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _stashed:
+    for path, spark in list(_stashed.items()):
         try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  that session may be gone already, others may not
+            continue

@@ -3,6 +3,8 @@ kernel works on slices of bounded size, a document is never cut."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -47,11 +49,59 @@ class Powers:
         return c
 
 
-BYTES, WORDS = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
-
-
-def slices(col: pa.Array, limit: int = SLICE):
-    """(first row, bytes, offsets): runs of rows with at most limit bytes, or one row; a null is an empty text."""
+#: Rolling, so some different strings agree by its structure: for finding candidates only.
+BYTES = Powers(0x9E3779B97F4A7C15)
+_STEP, _SEED = U(0xD1342543DE82EF95), U(0x2545F4914F6CDD1D)
+#: The low r bytes of a lane.
+_MASK = np.array([(1 << 8 * r) - 1 for r in range(9)], U)
+#: Bytes above which a stretch is hashed by itself.
+LONG = 4096
+
+
+def stretch_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each stretch, 8 at a step with all bits mixed after each: no structure of a text makes
+    different stretches agree."""
+    size = ends - starts
+    steps = (size + 7) >> 3
+    far = np.flatnonzero(size > LONG)
+    steps[far] = 0
+    order = np.argsort(-steps, kind="stable")
+    s, n, steps = starts[order], size[order], steps[order]
+    lanes = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(n.astype(U) + _SEED)
+    # rows by falling length: those that a step concerns come first
+    live = np.searchsorted(-steps, -np.arange(1, steps[0] + 1 if len(steps) else 1), "right")
+    for k, m in enumerate(live.tolist()):
+        h[:m] = mix(h[:m] * _STEP ^ (lanes[s[:m] + 8 * k] & _MASK[np.minimum(n[:m] - 8 * k, 8)]))
+    out = np.empty_like(h)
+    out[order] = h
+    for k in far.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for runs of 64-bit values, such as hashes of words."""
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    s, n = starts[order], size[order]
+    h = mix(n.astype(U) + _SEED)
+    live = np.searchsorted(-n, -np.arange(1, n[0] + 1 if len(n) else 1), "right")
+    for k, m in enumerate(live.tolist()):
+        h[:m] = mix(h[:m] * _STEP ^ values[s[:m] + k])
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two halves' hashes."""
+    return mix(mix(a + _SEED) * _STEP ^ b)
+
+
+def slices(col: pa.Array, limit: int = SLICE, rows: int = 32768):
+    """(first row, bytes, offsets): runs of at most so many rows with at most limit bytes, or one row; a null is an empty
+    text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -65,7 +115,7 @@ def slices(col: pa.Array, limit: int = SLICE):
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
-        j = min(j, n, i + 32768)
+        j = min(j, n, i + rows)
         yield i, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
@@ -83,25 +133,25 @@ def words(raw: np.ndarray, offs: np.ndarray, ink: np.ndarray = ~_SPACE) -> tuple
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    c = BYTES.prefix(_BYTE[_LOWER[raw] if lower else raw])
-    return mix((c[ends] - c[starts]) * BYTES.down[starts] + (ends - starts).astype(U))
+    return stretch_hashes(_LOWER[raw] if lower else raw, starts, ends)
 
 
-def byte_grams(raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-grams of bytes, and the prefix from which any run's hash can be taken."""
+def byte_grams(raw: np.ndarray, k: int) -> np.ndarray:
+    """Rolling hashes of all k-grams of bytes."""
     c = BYTES.prefix(_BYTE[raw])
     n = max(0, len(raw) - k + 1)
-    return mix((c[k : k + n] - c[:n]) * BYTES.down[:n]), c
-
-
-def run_hash(c: np.ndarray, powers: Powers, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return mix((c[j] - c[i]) * powers.down[i] + (j - i).astype(U))
+    return mix((c[k : k + n] - c[:n]) * BYTES.down[:n])
 
 
-def word_grams(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    c = WORDS.prefix(h)
+def word_grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-grams of words: each step multiplies and folds, so that no sum of words' hashes can cancel."""
     n = max(0, len(h) - k + 1)
-    return mix((c[k : k + n] - c[:n]) * WORDS.down[:n]), c
+    x = h[:n].copy()
+    for j in range(1, k):
+        x ^= x >> U(29)
+        x *= _STEP
+        x += h[j : j + n]
+    return mix(x)
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import discard, release, stash, table
+from ._io import discard, stash, table
 from .components import components
 
 THRESHOLD = 0.9
@@ -250,7 +250,6 @@ def graph(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
         for turn in range(level * ROUNDS, (level + 1) * ROUNDS):
             discard(*[old] if old is not None else [])
             old, lists = lists, stash(_lists(_round(lists, v, turn, threshold, most).union(lists), threshold, keep))
-            release(spark)
         discard(old)
         links = _links(lists, v, threshold)
         comp = components(links)

@@ -1,12 +1,15 @@
 """N-gram Jaccard join by signature trees: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-A set's shingles stand in one order, that of their hashes. Two sets that similar share a shingle among the first fifth of
-each, so pairs meet in the group of such a shingle. The further on a shingle stands, the smaller a partner must be that has
-it as the first one shared: a set stays in a group only if that has one so small. Within a group a signature tree is built over the members: each node
-holds the bitwise OR of the bitmaps below it and their range of sizes, and a dual traversal of the tree with itself leaves
-out pairs of nodes whose largest possible overlap is below what their sizes ask for. What is left is compared shingle by
-shingle. Equal sets are one node. A first pass over the groups links most members to a leader, so that the traversal can
-also leave out nodes that lie in one component already: it answers for every pair of sets not yet connected.
+A set's shingles stand in one order: rare ones by their hash, then the most frequent ones of the corpus, rarer first. Two
+sets that similar share a shingle among the first fifth of each, so pairs meet in the group of such a shingle. The further
+on a shingle stands, the smaller a partner must be that has it as the first one shared: a set stays in a group only if that
+has one so small. The order alone depends on the count of frequent shingles, not what is found.
+
+Within a group a signature tree is built over the members: each node holds the bitwise OR of the bitmaps below it and their
+range of sizes, and a dual traversal of the tree with itself leaves out pairs of nodes whose largest possible overlap is
+below what their sizes ask for. What is left is compared shingle by shingle. Equal sets are one node. Before that, in three
+of its groups, a set is held against a few leaders only, so that copies hang together and the traversal can also leave out
+nodes that lie in one component already: it answers for every pair of sets not yet connected.
 
 A pair that shares several groups is left to the one of the smallest shingle among the first few of each. The exact
 comparison goes by groups too: a set's shingles travel once to a group in which it has pairs, not once for each pair.
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import discard, release, stash, table
-from ._text import U, WORDS, mix, run_hash, slices, word_grams, word_hashes, words
+from ._io import discard, stash, table
+from ._text import U, mix, run_hashes, slices, word_grams, word_hashes, words
 from .components import components
 
 WIDTH = 5
@@ -30,28 +33,33 @@ PERCENT = 80
 LEAF, FAN = 16, 8
 #: Bytes of signatures that a line of a group's cells takes, and the least that a set counts for.
 CELL, MARK = 4_000_000, 512
-#: Smallest groups of a set that its rows name, to leave a pair to one group.
-HEADS = 4
+#: Groups in which a set meets leaders; smallest groups of a set that its rows name, to leave a pair to one group.
+MEET, HEADS = 3, 4
 #: Bytes of shingles, and pairs, that one cell of the exact comparison takes; the least that a set counts for.
 ROOM, PAIRS, LEAST = 8_000_000, 32_768, 4096
 #: Bits of the widest signature, and bytes of signatures that a traversal holds against others at once.
 WIDEST, STEP = 1 << 16, 8_000_000
 #: Rows of two numbers, about 3 MB, up to which a table of ids is broadcast.
 BROADCAST_ROWS = 100_000
-_BITS = 48
+#: Shingles that are ordered last, 1 MB at most: the most frequent of those that OFTEN of CHUNK consecutive shingles are.
+FREQUENT, OFTEN, CHUNK = 1 << 17, 4, 1 << 22
+#: Rows of a frequent shingle that go to one task.
+SHARE = 100_000
+#: Bits of a shingle's hash, and bytes of it; texts of a slice, so that both fit a word.
+_BITS, _BYTES, _ROWS = 52, 7, 4096
 
 
 def shingles(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of 48 bits, offsets per text): each text's distinct shingles in order; a text of fewer words than a shingle
+    """(hashes of 52 bits, offsets per text): each text's distinct shingles in order; a text of fewer words than a shingle
     has, its whole sequence as one."""
     starts, ends, per = words(raw, offs)
     h = word_hashes(raw, starts, ends, lower=True)
     count = np.diff(per)
-    gram, c = word_grams(h, WIDTH)
+    gram = word_grams(h, WIDTH)
     doc = np.repeat(np.arange(len(count)), count)
     at = np.flatnonzero(doc[: len(gram)] == doc[WIDTH - 1 :]) if len(gram) else np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < WIDTH))
-    key = np.concatenate([gram[at], run_hash(c, WORDS, per[short], per[short + 1])]) >> U(64 - _BITS)
+    key = np.concatenate([gram[at], run_hashes(h, per[short], per[short + 1])]) >> U(64 - _BITS)
     key |= np.concatenate([doc[at], short]).astype(U) << U(_BITS)
     key.sort()
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
@@ -72,55 +80,124 @@ def prefix(n: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of 4 n to 8 n bits, a power of two, at least 128; of WIDEST bits for the largest sets, for which it prunes
+    """A bitmap of 2 n to 4 n bits, a power of two, at least 128; of WIDEST bits for the largest sets, for which it prunes
     less."""
-    size = min(WIDEST, max(128, 1 << int(4 * len(tokens) - 1).bit_length()))
+    size = min(WIDEST, max(128, 1 << int(2 * len(tokens) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(tokens * 0x9E3779B1 >> 13) & (size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def narrow(bits: bytes) -> bytes:
-    """The signature folded to half its width."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(2, -1), 0).tobytes() if bits else b""
-
-
 def _sets(docs: DataFrame) -> DataFrame:
-    """Of each document: doc_id, node, n, least (its smallest shingle), bits (its signature), few (that folded)."""
+    """Of each document: doc_id, node, n, least (its smallest shingle), bits (its signature). And rows token, hits: shingles
+    that a task has met often."""
 
     def work(batches):
+        held, size = [], 0
         for batch in batches:
-            for i, raw, offs in slices(batch.column(1)):
+            for i, raw, offs in slices(batch.column(1), rows=_ROWS):
                 tokens, at = shingles(raw, offs)
                 n = np.diff(at)
                 least = np.append(tokens, 0)[at[:-1]]
                 bits = [signature(tokens[a:b]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(n)], pa.array(_node(tokens, at)), pa.array(n), pa.array(least), pa.array(bits, pa.binary()), pa.array(map(narrow, bits), pa.binary())], ["doc_id", "node", "n", "least", "bits", "few"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, node long, n long, least long, bits binary, few binary")
-
-
-def _tokens(docs: DataFrame) -> DataFrame:
-    """token, node, n, most: the first shingles of each set, and the size up to which a partner may have this as the first one
-    shared: both have at least 80 / 180 of the sizes' sum from there on."""
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(n)], pa.array(_node(tokens, at)), pa.array(n), pa.array(least), pa.array(bits, pa.binary()), none, none], names)
+                held.append(tokens)
+                size += len(tokens)
+                if size > CHUNK:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
+
+    def often(held):
+        token, hits = np.unique(np.concatenate(held), return_counts=True)
+        token, hits = token[hits >= OFTEN], hits[hits >= OFTEN]
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), pa.array(token), pa.array(hits)], names)
+
+    names = ["doc_id", "node", "n", "least", "bits", "token", "hits"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, node long, n long, least long, bits binary, token long, hits long")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, their place in the order, tasks that their rows are dealt to): at most FREQUENT, sorted by shingle."""
+    top = sets.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "token").limit(FREQUENT).toPandas()
+    token, hits = top["token"].to_numpy(np.int64), top["hits"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], (len(token) - order).astype(np.int64), hits[order] // SHARE + 1
+
+
+def _tokens(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """token, node, size, cell: the first shingles of each set; size holds, above 32 bits, how many it has, and below, up to
+    which size a partner may have this as the first one shared: both have at least 80 / 180 of the sizes' sum from there on.
+    cell: of a frequent shingle, a part of its rows, else -1. A task names equal sets once."""
 
     def work(batches):
+        hot, place, cells = frequent
+        seen: set[int] = set()
         for batch in batches:
-            for _, raw, offs in slices(batch.column(0)):
+            for _, raw, offs in slices(batch.column(0), rows=_ROWS):
                 tokens, at = shingles(raw, offs)
-                size = np.diff(at)
-                n = prefix(size)
+                node, size = _node(tokens, at), np.diff(at)
+                new = np.zeros(len(node), bool)
+                for i, x in enumerate(node.tolist()):
+                    if x and x not in seen:
+                        seen.add(x)
+                        new[i] = True
+                k = np.minimum(np.searchsorted(hot, tokens), max(0, len(hot) - 1))
+                often = hot[k] == tokens if len(hot) else np.zeros(len(tokens), bool)
+                if often.any():
+                    order = np.argsort(np.repeat(np.arange(len(size)), size) << 20 | np.where(often, place[k], 0), kind="stable")
+                    tokens, k, often = tokens[order], k[order], often[order]
+                n = np.where(new, prefix(size), 0)
                 ends = np.cumsum(n)
-                place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+                rank = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
                 whole = np.repeat(size, n)
-                most = (100 + PERCENT) * (whole - place) // PERCENT - whole
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[np.repeat(at[:-1], n) + place]), pa.array(np.repeat(_node(tokens, at), n)), pa.array(whole.astype(np.int32)), pa.array(most.astype(np.int32))], ["token", "node", "n", "most"])
+                most = (100 + PERCENT) * (whole - rank) // PERCENT - whole
+                i, own = np.repeat(at[:-1], n) + rank, np.repeat(node, n)
+                cell = np.full(len(i), -1)
+                some = np.flatnonzero(often[i])
+                cell[some] = own[some] % cells[k[i[some]]]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[i]), pa.array(own), pa.array(whole << 32 | np.maximum(most, 0)), pa.array(cell.astype(np.int32))], ["token", "node", "size", "cell"])
 
-    return docs.select("text").mapInArrow(work, "token long, node long, n int, most int").where("node <> 0")
+    return docs.select("text").mapInArrow(work, "token long, node long, size long, cell int")
+
+
+def _groups(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """token, node, n: the rows of shingles that another set has too, small enough for both. A task reads its rows in order
+    and holds one of them; those of a frequent shingle, in several tasks, all pass."""
+
+    def work(batches):
+        held = np.zeros((4, 0), np.int64)  # the first row of the last shingle: token, node, size, cell
+        said = False  # and whether it has been passed on
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], 1)
+            same = (t[:3, 1:] == t[:3, :-1]).all(0)  # an equal set, from another task
+            t = t[:, np.append(True, ~same)]
+            token, n, most = t[0], t[2] >> 32, t[2] & 0xFFFFFFFF
+            new = np.append(True, token[1:] != token[:-1])
+            first = np.flatnonzero(new)
+            own = np.cumsum(new) - 1
+            hot = t[3] >= 0
+            keep = ~new & (hot | (most >= n[first][own]))
+            with_more = np.zeros(len(first), bool)
+            with_more[own[keep]] = True
+            keep[first] = with_more | hot[first]
+            last_said = bool(keep[first[-1]]) or (len(first) == 1 and held.shape[1] > 0 and said)
+            if held.shape[1] and said:
+                keep[0] = False
+            held, said = t[:, first[-1] :][:, :1], last_said
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(t[1][keep]), pa.array(n[keep])], ["token", "node", "n"])
+
+    dealt = _tokens(docs, frequent).repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "node")
+    return dealt.mapInArrow(work, "token long, node long, n long")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens (6 bytes each) of the nodes wanted, each from one document (wanted: node, doc_id). The few ids that near
+    """node, tokens (7 bytes each) of the nodes wanted, each from one document (wanted: node, doc_id). The few ids that near
     copies make are broadcast if counting has shown that they take a few MB at most; else the texts are shuffled."""
     wanted = stash(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
@@ -129,19 +206,19 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             want = batch.column(0).to_numpy()
-            for i, raw, offs in slices(batch.column(1)):
+            for i, raw, offs in slices(batch.column(1), rows=_ROWS):
                 tokens, at = shingles(raw, offs)
                 ok = _node(tokens, at) == want[i : i + len(offs) - 1]  # rows that share the doc_id may hold other texts
-                data = tokens.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                rows = [data[6 * a : 6 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                data = tokens.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+                rows = [data[_BYTES * a : _BYTES * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + len(rows)], pa.array(rows, pa.binary())], ["node", "tokens"]).filter(pa.array(ok))
 
     return picked.mapInArrow(work, "node long, tokens binary").dropDuplicates(["node"])
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _BYTES)
     return out.view("<i8").ravel()
 
 
@@ -236,87 +313,127 @@ def elsewhere(x: np.ndarray, y: np.ndarray, token: int) -> np.ndarray:
     return ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
 
 
-def _group(token, node, n, least, bits, comp, heads, side, cross: bool, first: bool):
-    """Candidate pairs of nodes among the members of one group or cell."""
-    head = np.where((heads[:, 0] >= 0) & (heads[:, 0] < token), heads[:, 0], -1 - np.arange(len(n)))
+def _widths(n, least, bits):
+    """The members by width of signature, near ones beside each other: (members, their bitmaps), and the same of those twice as
+    wide, folded."""
     width = np.array([len(b) for b in bits])
-    out = []
+    order = np.lexsort((n, least))
     for w in np.unique(width):
-        a = np.flatnonzero(width == w)
-        b = np.flatnonzero(width == 2 * w)
-        a = a[np.lexsort((n[a], least[a]))]
-        b = b[np.lexsort((n[b], least[b]))]
+        a, b = order[width[order] == w], order[width[order] == 2 * w]
         ma = np.frombuffer(b"".join([bits[k] for k in a]), np.uint64).reshape(len(a), -1)
-        mb = _fold(np.frombuffer(b"".join([bits[k] for k in b]), np.uint64).reshape(len(b), -1)) if len(b) and w >= 8 else None
-        if first:
-            rows, m = (np.concatenate([a, b]), np.concatenate([ma, mb])) if mb is not None else (a, ma)
-            out += [(rows[i], rows[j]) for i, j in leaders(m, n[rows])]
-            continue
+        yield a, ma, b, _fold(np.frombuffer(b"".join([bits[k] for k in b]), np.uint64).reshape(len(b), -1)) if len(b) else None
+
+
+def _led(n, least, bits):
+    """Pairs (leader, member) of a group's members."""
+    out = [np.zeros((2, 0), np.int64)]
+    for a, ma, b, mb in _widths(n, least, bits):
+        rows, m = (np.concatenate([a, b]), np.concatenate([ma, mb])) if mb is not None else (a, ma)
+        out += [np.stack([rows[i], rows[j]]) for i, j in leaders(m, n[rows])]
+    return np.concatenate(out, 1)
+
+
+def _traversed(token, n, least, bits, comp, heads, side, cross: bool):
+    """Pairs of a group's or cell's members that the traversal leaves, but for those that a smaller group finds."""
+    head = np.where((heads[:, 0] >= 0) & (heads[:, 0] < token), heads[:, 0], -1 - np.arange(len(n)))
+    out = [np.zeros((2, 0), np.int64)]
+    for a, ma, b, mb in _widths(n, least, bits):
         ta = Tree(ma, n[a], comp[a], head[a])
         found = [(a[i], a[j]) for i, j in dual(ta, ta, True)] if len(a) > 1 else []
         if mb is not None:
             found += [(a[i], b[j]) for i, j in dual(ta, Tree(mb, n[b], comp[b], head[b]), False)]
         for i, j in found:
             keep = ~elsewhere(heads[i], heads[j], token)
-            out.append((i[keep], j[keep]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = map(np.concatenate, zip(*out, strict=True))
-    if cross:
-        keep = side[i] != side[j]
-        i, j = i[keep], j[keep]
-    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if cross:
+                keep &= side[i] != side[j]
+            out.append(np.stack([i[keep], j[keep]]))
+    return np.concatenate(out, 1)
 
 
-def _candidates(groups: DataFrame, marks: DataFrame, first: bool) -> DataFrame:
-    """groups (token, node, n, comp), marks (node, n, least, bits) -> distinct pairs (a, b) that may be similar enough, and the
-    smallest group (token) that found them. But for the first pass, a pair is left to a smaller group if one is known."""
-    heads = F.array().cast("array<long>") if first else F.slice(F.array_sort(F.collect_list("token")), 1, HEADS)
-    marks = marks.withColumn("heads", heads) if first else marks.join(groups.groupBy("node").agg(heads.alias("heads")), "node")
-    room = F.greatest(F.least("n", F.lit(WIDEST // 8)), F.lit(MARK))  # a signature has n bytes at most
-    cells = groups.groupBy("token").agg(F.ceil(F.sum(room) / CELL).cast("int").alias("k"))
-    rows = groups.join(cells, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # with k lines a member goes to the k cells of its line: (own, x) from own on, (x, own) before it
-    rows = rows.withColumn("x", F.explode(F.expr("sequence(0, k - 1)"))).select("token", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "comp")
-    rows = rows.join(marks, "node").select("token", "i", "j", "own", "node", "n", "least", "comp", "heads", "bits")
+def _by_cell(rows: DataFrame, key: list[str], judge) -> DataFrame:
+    """Distinct pairs (a, b) with the smallest token that gives them: judge(cell) gives two rows of members' places for the
+    rows of each cell, which has a bounded size; the columns of a cell are arrays by name, bits a list."""
+    names = rows.columns
 
     def work(batches):
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([*(rest.to_batches() if rest is not None else ()), batch]).combine_chunks()
-            key = [t[k].to_numpy() for k in ("token", "i", "j")]
-            last = np.logical_and.reduce([k == k[-1] for k in key])
+            last = np.logical_and.reduce([t[k].to_numpy() == t[k].to_numpy()[-1] for k in key])
             cut = int(np.searchsorted(last, True))
-            yield from join(t.slice(0, cut))
+            yield from cells(t.slice(0, cut))
             rest = t.slice(cut)
         if rest is not None:
-            yield from join(rest)
+            yield from cells(rest)
 
-    def join(t):
+    def cells(t):
         if not len(t):
             return
-        token, i, j, own, node, n, least, comp = (t[k].to_numpy() for k in ("token", "i", "j", "own", "node", "n", "least", "comp"))
+        col = {k: t[k].to_numpy() for k in names if k not in ("bits", "heads")}
         bits, out = t["bits"].combine_chunks().to_pylist(), []
-        lists = t["heads"].combine_chunks()
-        count, heads = lists.value_lengths().to_numpy(), np.full((len(t), HEADS), -1)
-        heads[np.arange(HEADS) < count[:, None]] = lists.flatten().to_numpy()
-        cuts = np.flatnonzero(np.append(True, (np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(token)], strict=True):
+        if "heads" in names:
+            lists = t["heads"].combine_chunks()
+            count, col["heads"] = lists.value_lengths().to_numpy(), np.full((len(t), HEADS), -1)
+            col["heads"][np.arange(HEADS) < count[:, None]] = lists.flatten().to_numpy()
+        cuts = np.flatnonzero(np.append(True, np.logical_or.reduce([np.diff(col[k]) != 0 for k in key])))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(t)], strict=True):
             if hi - lo > 1:
-                s = slice(lo, hi)
-                a, b = _group(token[lo], node[s], n[s], least[s], bits[lo:hi], comp[s], heads[s], own[s], bool(i[lo] != j[lo]), first)
-                out.append((a, b, np.full(len(a), token[lo])))
+                i, j = judge({k: x[lo:hi] for k, x in col.items()} | {"bits": bits[lo:hi]}) + lo
+                a, b = col["node"][i], col["node"][j]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), col["token"][lo])]))
         if out:
-            a, b, found = map(np.concatenate, zip(*out, strict=True))
-            order = np.lexsort((found, b, a))
-            a, b, found = a[order], b[order], found[order]
+            a, b, token = np.concatenate(out, 1)
+            order = np.lexsort((token, b, a))
+            a, b, token = a[order], b[order], token[order]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, found)], ["a", "b", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, token)], ["a", "b", "token"])
 
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = rows.repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(work, "a long, b long, token long").groupBy("a", "b").agg(F.min("token").alias("token"))
 
 
+def _lines(groups: DataFrame) -> DataFrame:
+    """token, k: into how many lines the members of a group are dealt, for groups of several."""
+    room = F.greatest(F.least("n", F.lit(WIDEST // 8)), F.lit(MARK))  # a signature has n bytes at most
+    return groups.groupBy("token").agg(F.ceil(F.sum(room) / CELL).cast("int").alias("k"), F.count("*").alias("members")).where("members > 1").drop("members")
+
+
+def _near(groups: DataFrame, marks: DataFrame, docs: DataFrame, owner: DataFrame) -> DataFrame:
+    """Links (a, b) of sets to leaders that they meet in MEET groups each. Members of a group above a cell's size meet those of
+    their line; then one of each component, and so on until a cell holds the rest or no more hang together."""
+    picks = groups.groupBy("node").agg(F.first("n").alias("n"), *(F.min_by("token", F.xxhash64("token", F.lit(k))).alias(f"t{k}") for k in range(MEET)))
+    open_ = stash(picks.select("node", "n", F.explode(F.array_distinct(F.array(*(f"t{k}" for k in range(MEET))))).alias("token")))
+    links, left = None, None
+    while True:
+        lines = stash(_lines(open_))
+        rows = open_.join(lines, "token").withColumn("line", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        rows = rows.select("token", "line", "node").join(marks, "node").select("token", "line", "node", "n", "least", "bits")
+        found = _verified(_by_cell(rows, ["token", "line"], lambda c: _led(c["n"], c["least"], c["bits"])), docs, owner, marks)
+        links = found if links is None else links.union(found)
+        wide = lines.where("k > 1")
+        if wide.isEmpty():
+            return links
+        comp = components(links)
+        rest = open_.join(wide.select("token"), "token", "left_semi").join(comp, "node", "left")
+        old, open_ = open_, stash(rest.groupBy("token", F.coalesce("component", "node")).agg(F.min_by("n", "node").alias("n"), F.min("node").alias("node")).select("node", "n", "token"))
+        discard(old, lines)
+        before, left = left, open_.count()
+        if left == before:
+            return links
+
+
+def _apart(groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """groups (token, node, n, comp), marks (node, n, least, bits) -> distinct pairs (a, b) that may be similar enough and are
+    in different components, and the smallest group (token) that found them: a pair is left to a smaller group if one is
+    known."""
+    marks = marks.join(groups.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, HEADS).alias("heads")), "node")
+    rows = groups.join(_lines(groups), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    # with k lines a member goes to the k cells of its line: (own, x) from own on, (x, own) before it
+    rows = rows.withColumn("x", F.explode(F.expr("sequence(0, k - 1)"))).select("token", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "comp")
+    rows = rows.join(marks, "node").select("token", "i", "j", "own", "node", "n", "least", "comp", "heads", "bits")
+    return _by_cell(rows, ["token", "i", "j"], lambda c: _traversed(c["token"][0], c["n"], c["least"], c["bits"], c["comp"], c["heads"], c["own"], bool(c["i"][0] != c["j"][0])))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs that are similar enough, shingle by shingle. owner: node, doc_id of one document that has it.
 
@@ -324,7 +441,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, marks: DataFr
     to each cell that has pairs of it."""
     pairs = stash(pairs)
     whole = stash(_whole_sets(docs, _ends(pairs).distinct().join(owner, "node")))
-    room = _ends(pairs, "token").distinct().join(marks.select("node", "n"), "node").groupBy("token").agg(F.ceil(F.sum(F.greatest(F.col("n") * 6, F.lit(LEAST))) / ROOM).alias("k"))
+    room = _ends(pairs, "token").distinct().join(marks.select("node", "n"), "node").groupBy("token").agg(F.ceil(F.sum(F.greatest(F.col("n") * _BYTES, F.lit(LEAST))) / ROOM).alias("k"))
     many = pairs.groupBy("token").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).alias("m"))
     lines = room.join(many, "token").select("token", F.greatest("k", "m").cast("int").alias("k"))
     cells = stash(pairs.join(lines, "token").select("token", *(F.pmod(F.xxhash64(c), F.col("k")).cast("int").alias(f"l{c}") for c in "ab"), "a", "b"))
@@ -363,30 +480,21 @@ def join(docs: DataFrame) -> DataFrame:
 
     A-Z count as a-z. Null, empty and wordless texts have no shingle and link with nothing. Rows that share a doc_id are one
     node. A null doc_id takes part in no link but with texts of the same shingles, and names no component: else its own is null."""
-    spark = docs.sparkSession
-    sets = stash(_sets(docs))
-    useful = _tokens(docs).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("smallest")).where("lo <> hi").select("token", "smallest")
-    groups = stash(_tokens(docs).join(useful, "token").where("most >= smallest").select("token", "node", "n").distinct())
-    release(spark)
-    # groups with the same members tell the same: one of them stays
-    twin = groups.groupBy("token").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    kept = twin.where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    every, groups = groups, stash(groups.join(kept, "token", "left_semi"))
-    discard(every)
+    seen = stash(_sets(docs))
+    sets = seen.where("node is not null")
+    groups = stash(_groups(docs, _frequent(seen)))
     owner = sets.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    marks = stash(sets.select("node", "n", "least", "bits", "few").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = _verified(_candidates(groups.withColumn("comp", F.col("node")), marks.drop("bits").withColumnRenamed("few", "bits"), first=True), docs, owner, marks)
-    release(spark)
-    comp = components(links)
-    labelled = groups.join(comp.select("node", F.col("component").alias("c")), "node", "left").select("token", "node", "n", F.coalesce("c", "node").alias("comp"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = stash(labelled.join(mixed, "token", "left_semi"))
-    del comp, labelled, mixed
+    marks = stash(sets.select("node", "n", "least", "bits").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    links = _near(groups, marks, docs, owner)
+    labelled = stash(groups.join(components(links), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp")))
     discard(groups)
-    release(spark)
-    more = _verified(_candidates(open_, marks.drop("few"), first=False), docs, owner, marks)
+    # groups of one component are done; of those with the same members one stays
+    apart = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).where("lo <> hi")
+    kept = apart.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
+    open_ = stash(labelled.join(kept, "token", "left_semi"))
+    discard(labelled)
+    more = _verified(_apart(open_, marks), docs, owner, marks)
     discard(open_, marks)
-    release(spark)
     # documents hang on their sets; rows of one doc_id hang together
     comp = components(links.union(more))
     rows = sets.join(comp, "node", "left").select("doc_id", "n", F.when(F.col("node") != 0, F.coalesce("component", "node")).alias("c"))

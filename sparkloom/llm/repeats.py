@@ -5,7 +5,8 @@ place in them. So only documents' windows with a k-gram that another window also
 any document) can repeat, and all equal windows meet in the group of their k-gram. Runs of windows whose whole stretch of
 text is equal, as in copies, collapse to one with a count before their text is fetched: a group holds different texts
 only. Nothing is capped: a group with more than `most` different stretches is not gathered in one task, the hashes of its
-windows are counted instead.
+windows are counted instead. Stretches and windows count as equal if 64-bit hashes of all their symbols agree, and with them
+their k-grams and places.
 
 Rows that share a doc_id are told apart by a hash of their text and count as one document in the order of documents; a
 null doc_id comes last in that order. Null and empty texts have no windows."""
@@ -20,27 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import release, stash
-from ._text import U, anchor_runs, slices
+from ._io import stash
+from ._text import U, anchor_runs, run_hashes, slices, stretch_hashes
 
 #: pos = lo << 20 | starts << 10 | offset of the anchor from lo, in symbols of the document; windows are below 1,024.
-RUNS = "anchor long, ctx long, d long, t int, pos long"
+RUNS = "anchor long, ctx long, d long, t long, pos long"
 
 
 @dataclass(frozen=True)
 class Symbols:
-    """How texts become symbols: `grams` gives per slice (k-gram hashes, symbol offsets of documents, hash of a run i:j),
+    """How texts become symbols of `width` bytes: `grams` gives per slice (k-gram hashes, symbol offsets of documents, hash of a run i:j),
     `cut` the stretch of symbols lo:hi of one text as bytes, for the kernel."""
 
     window: int
     k: int
+    width: int
     grams: Callable
     cut: Callable
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(d, t, doc_id, text): d orders documents, t tells texts of one doc_id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("int").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
 def runs(docs: DataFrame, s: Symbols, only_anchor: bool = False) -> DataFrame:
@@ -72,7 +74,6 @@ def repeated(docs: DataFrame, s: Symbols, kernel: Callable, order_matters: bool,
     # a table of its own: AQE splits the join of a hot anchor only if no aggregate stands between it and the exchanges
     often = stash(runs(docs, s, only_anchor=True).groupBy("anchor").count().where("count > 1").select("anchor"))
     members = stash(runs(docs, s).join(often, "anchor", "left_semi"))
-    release(spark)
     stretch = members.groupBy("anchor", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("d", "pos", "t")).alias("f"))
     size = stretch.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum("weight").alias("runs")).where("runs > 1")
     stretch = stash(stretch.join(size, "anchor").select("anchor", "ctx", "weight", "f.d", "f.t", "f.pos", "stretches"))
@@ -82,7 +83,6 @@ def repeated(docs: DataFrame, s: Symbols, kernel: Callable, order_matters: bool,
     hits = members.join(found, keys).where(~((F.col("kind") == 1) & (F.col("d") == F.col("fd")) & (F.col("pos") == F.col("fpos"))))
     spans = hits.select("d", "t", (((F.shiftright("pos", 20) + F.col("start")) * (1 << 20)) + F.col("count")).alias("span"))
     out = stash(spans.groupBy("d", "t").agg(F.array_sort(F.collect_set("span")).alias("spans")))
-    release(spark)
     return out
 
 
@@ -105,7 +105,6 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
 
     texts = docs.select("d", "t", "text").join(need.hint("shuffle_hash"), ["d", "t"]).select("d", "text", "rows")
     rows = stash(texts.mapInArrow(fetch, "anchor long, ctx long, weight long, d long, pos long, big boolean, bytes binary"))
-    release(spark)
 
     def judge(batches):
         held: list[pa.RecordBatch] = []
@@ -151,7 +150,7 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
                 n = pos >> 10 & 1023
                 row = pa.array(np.repeat(np.arange(len(n)), n))
                 start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h = _window_hashes(batch.column(5), n, s.window)
+                h = _window_hashes(batch.column(5), n, s)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(5)), pa.array(start), pa.array(h.view(np.int64))], ["anchor", "ctx", "weight", "d", "pos", "start", "h"])
 
     one = rows.where("big").select("anchor", "ctx", "weight", "d", "pos", "bytes").mapInArrow(explode, "anchor long, ctx long, weight long, d long, pos long, start long, h long")
@@ -159,19 +158,12 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
     sums = one.groupBy("anchor", "h").agg(F.sum("weight").alias("w"), F.min(place).alias("first")).where("w > 1")
     big = one.join(sums, ["anchor", "h"]).select("anchor", "ctx", "d", "pos", "start", F.lit(1).cast("long").alias("count"), (F.when(place == F.col("first"), 1).otherwise(0) if order_matters else F.lit(0)).cast("int").alias("kind"))
     out = stash(small.unionByName(big))
-    release(spark)
     return out
 
 
-def _window_hashes(col: pa.Array, n: np.ndarray, window: int) -> np.ndarray:
-    """Of every window of every stretch: stretches are bytes, or 8-byte words if they are so many times longer."""
-    from ._text import BYTES, WORDS, _BYTE, run_hash
-
+def _window_hashes(col: pa.Array, n: np.ndarray, s: Symbols) -> np.ndarray:
+    """Of every window of every stretch."""
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-    offs = offs - offs[0]
-    wide = int(np.diff(offs)[0]) == 8 * (int(n[0]) + window - 1)
-    p, values = (WORDS, raw.view(U)) if wide else (BYTES, _BYTE[raw])
-    c = p.prefix(values)
-    i = np.repeat(offs[:-1] // (8 if wide else 1) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return run_hash(c, p, i, i + window)
+    i = np.repeat((offs[:-1] - offs[0]) // s.width - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return run_hashes(raw.view(U), i, i + s.window) if s.width == 8 else stretch_hashes(raw, i, i + s.window)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from ._io import table
-from ._text import U, WORDS, mix, run_hash, slices, word_grams, word_hashes, words
+from ._text import U, joined, mix, run_hashes, slices, word_grams, word_hashes, words
 from .suffix_dedup import join_runs, merged
 
 WINDOW, GRAM = 20, 5
@@ -25,17 +25,18 @@ WINDOW, GRAM = 20, 5
 def kernel(group, weight, d, pos, col: pa.Array):
     lo, n, off = pos >> 20, pos >> 10 & 1023, pos & 1023
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    c = WORDS.prefix(np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(U))
+    gram = word_grams(np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(U), GRAM)
     begin = (offs[:-1] - offs[0]) // 8
     row = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     size = GRAM
     while size < WINDOW and len(row):
-        size = min(2 * size, WINDOW)
+        size, before = min(2 * size, WINDOW), size
+        gram = joined(gram[: len(gram) - size + before], gram[size - before :])  # a stretch is its two halves
         half, place = size // 2, off[row] - start
         shift = np.minimum(place // half * half, WINDOW - size)
         i = begin[row] + start + shift
-        key = mix(run_hash(c, WORDS, i, i + size) ^ mix((group[row] * 1024 + place - shift).astype(U)))
+        key = mix(gram[i] ^ mix((group[row] * 1024 + place - shift).astype(U)))
         # a stretch counts once for each document's run, however many of the run's windows hold it
         _, one, back = np.unique(mix(key ^ mix(row.astype(U))), return_index=True, return_inverse=True)
         _, cls = np.unique(key[one], return_inverse=True)
@@ -60,8 +61,7 @@ def _symbols(raw, offs):
 
 def _grams(raw, offs):
     h, per = _symbols(raw, offs)
-    gram, c = word_grams(h, GRAM)
-    return gram, per, lambda i, j: run_hash(c, WORDS, i, j)
+    return word_grams(h, GRAM), per, lambda i, j: run_hashes(h, i, j)
 
 
 def _cut(raw, offs, own, lo, hi) -> pa.Array:
@@ -72,7 +72,7 @@ def _cut(raw, offs, own, lo, hi) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(8 * ends), pa.py_buffer(data)]).cast(pa.binary())
 
 
-SYMBOLS = repeats.Symbols(WINDOW, GRAM, _grams, _cut)
+SYMBOLS = repeats.Symbols(WINDOW, GRAM, 8, _grams, _cut)
 
 
 def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:

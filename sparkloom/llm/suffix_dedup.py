@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from ._io import table
-from ._text import BYTES, byte_grams, run_hash, slices
+from ._text import byte_grams, slices, stretch_hashes
 
 MIN_BYTES, GRAM = 400, 32
 _END = 0xFF  # not in any UTF-8 text
@@ -138,8 +138,7 @@ def join_runs(row: np.ndarray, start: np.ndarray, kind: np.ndarray):
 
 
 def _grams(raw, offs):
-    gram, c = byte_grams(raw, GRAM)
-    return gram, offs, lambda i, j: run_hash(c, BYTES, i, j)
+    return byte_grams(raw, GRAM), offs, lambda i, j: stretch_hashes(raw, i, j)
 
 
 def _cut(raw, offs, own, lo, hi) -> pa.Array:
@@ -149,7 +148,7 @@ def _cut(raw, offs, own, lo, hi) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
 
 
-SYMBOLS = repeats.Symbols(MIN_BYTES, GRAM, _grams, _cut)
+SYMBOLS = repeats.Symbols(MIN_BYTES, GRAM, 1, _grams, _cut)
 
 
 def merged(spans: list[int] | None, window: int) -> list[tuple[int, int]]:

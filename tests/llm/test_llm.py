@@ -137,7 +137,10 @@ def test_ngram_join_near_the_threshold(spark, monkeypatch, small):
     assert got == want and links > 500 and len({c for _, c in want.values()}) > 12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    """A chain, a pair, a loop and a null end; by contraction alone, and in one task."""
+    monkeypatch.setattr(components, "FEW", few)
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = dict(components.components(e).collect())
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
