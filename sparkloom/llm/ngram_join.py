@@ -35,6 +35,8 @@ LEAF, FAN = 16, 8
 CELL, MARK = 4_000_000, 512
 #: Groups in which a set meets leaders; smallest groups of a set that its rows name, to leave a pair to one group.
 MEET, HEADS = 3, 4
+#: Other members of such a group that a set is held against.
+NEXT = 12
 #: Bytes of shingles, and pairs, that one cell of the exact comparison takes; the least that a set counts for.
 ROOM, PAIRS, LEAST = 8_000_000, 32_768, 4096
 #: Bits of the widest signature, and bytes of signatures that a traversal holds against others at once.
@@ -324,12 +326,25 @@ def _widths(n, least, bits):
         yield a, ma, b, _fold(np.frombuffer(b"".join([bits[k] for k in b]), np.uint64).reshape(len(b), -1)) if len(b) else None
 
 
-def _led(n, least, bits):
-    """Pairs (leader, member) of a group's members."""
+def neighbours(bits: np.ndarray, n: np.ndarray, places: np.ndarray):
+    """Pairs that may be similar enough of each member with the next NEXT in the order of places, a ring: where many are about
+    as similar as asked, they connect what no leader does."""
+    order = np.argsort(places)
+    for step in range(1, min(NEXT, len(n) // 2) + 1):
+        i, j = order, np.roll(order, -step)
+        shared = _pop(bits[i] & bits[j])
+        top = np.minimum(n[i] - (_pop(bits[i]) - shared), n[j] - (_pop(bits[j]) - shared))
+        near = 180 * top >= 80 * (n[i] + n[j])
+        yield i[near], j[near]
+
+
+def _led(token, node, n, least, bits):
+    """Pairs of a group's members with leaders and with some others."""
     out = [np.zeros((2, 0), np.int64)]
     for a, ma, b, mb in _widths(n, least, bits):
         rows, m = (np.concatenate([a, b]), np.concatenate([ma, mb])) if mb is not None else (a, ma)
-        out += [np.stack([rows[i], rows[j]]) for i, j in leaders(m, n[rows])]
+        places = mix((node[rows] ^ token).view(U))
+        out += [np.stack([rows[i], rows[j]]) for found in (leaders(m, n[rows]), neighbours(m, n[rows], places)) for i, j in found]
     return np.concatenate(out, 1)
 
 
@@ -408,7 +423,7 @@ def _near(groups: DataFrame, marks: DataFrame, docs: DataFrame, owner: DataFrame
         lines = stash(_lines(open_))
         rows = open_.join(lines, "token").withColumn("line", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         rows = rows.select("token", "line", "node").join(marks, "node").select("token", "line", "node", "n", "least", "bits")
-        found = _verified(_by_cell(rows, ["token", "line"], lambda c: _led(c["n"], c["least"], c["bits"])), docs, owner, marks)
+        found = _verified(_by_cell(rows, ["token", "line"], lambda c: _led(c["token"][0], c["node"], c["n"], c["least"], c["bits"])), docs, owner, marks)
         links = found if links is None else links.union(found)
         wide = lines.where("k > 1")
         if wide.isEmpty():
@@ -443,7 +458,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, marks: DataFr
     whole = stash(_whole_sets(docs, _ends(pairs).distinct().join(owner, "node")))
     room = _ends(pairs, "token").distinct().join(marks.select("node", "n"), "node").groupBy("token").agg(F.ceil(F.sum(F.greatest(F.col("n") * _BYTES, F.lit(LEAST))) / ROOM).alias("k"))
     many = pairs.groupBy("token").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).alias("m"))
-    lines = room.join(many, "token").select("token", F.greatest("k", "m").cast("int").alias("k"))
+    # a table of its own: AQE splits the join of a hot token only if no aggregate stands between it and the exchanges
+    lines = stash(room.join(many, "token").select("token", F.greatest("k", "m").cast("int").alias("k")))
     cells = stash(pairs.join(lines, "token").select("token", *(F.pmod(F.xxhash64(c), F.col("k")).cast("int").alias(f"l{c}") for c in "ab"), "a", "b"))
     key = ["token", "la", "lb"]
     sets = _ends(cells, *key).distinct().join(whole, "node").select(*key, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
@@ -467,7 +483,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, owner: DataFrame, marks: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4)], ["a", "b"]).filter(pa.array(ok))
 
     out = stash(rows.mapInArrow(work, "a long, b long"))
-    discard(pairs, whole, cells)
+    discard(pairs, whole, cells, lines)
     return out
 
 
