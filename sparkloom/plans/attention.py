@@ -1,47 +1,125 @@
-"""Paged records, index lists and softmax aggregation over `events`: a user's events are its tokens in the order of time,
-their value the logit; pages hold 64 records, a list 128 positions."""
+"""Paged records, index lists and attention over `events`: a user's events are its tokens in the order of time. The record of an
+event, 584 bytes, is made from MD5 digests of its id, the queries of a user, two heads, from its id; pages hold 64 records."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import paged
+from ..sources.tables import table
 from .sqlplans import query
 
-#: 512 to the power of -0.55, the scale of logits.
-SCALE = "pow(cast(512 as double), -55e-2)"
+PAGE = 64
 _TOK = "t as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, value from events)"
-_X = f"x as (select user_id, event_id, event_type, ts, value * {SCALE} as x from events)"
-_M = "m as (select user_id, max(x) as mx from x group by user_id)"
-_LSE = "l as (select m.user_id, mx + ln(sum(exp(x.x - mx))) as lse from x join m on x.user_id = m.user_id group by m.user_id, mx)"
 #: -1 marks a position that holds nothing; every fifth here.
 _IDX = "i as (select user_id, pos, case when event_id % 5 = 0 then -1 else event_id end as idx from t)"
-#: Logical to physical page: a permutation by hash.
-_MAP = "p as (select page, row_number() over (order by md5(concat('7:', cast(page as string))), page) - 1 as phys from (select distinct cast(floor(event_id / 64e0) as bigint) as page from events) k)"
+#: Logical to physical page: a permutation by an odd factor modulo a prime above all pages of 2**31 events, so no sort.
+_PRIME = 2147483647
+
+
+def records(spark, d) -> DataFrame:
+    """event_id, rec, scale. Digit f of FP8 bytes becomes e, so none is NaN; BF16 values are from 0.5 to 2, of either sign; scales
+    from 2**-15 to 2**-8."""
+    e = table(spark, d, "events").select("event_id", F.expr("array_join(transform(sequence(0, 36), k -> md5(concat(event_id, ':', k))), '')").alias("h"))
+    high = "array_join(transform(sequence(0, 63), j -> concat(substring(h, 897 + 4 * j, 2), if(substring(h, 899 + 4 * j, 1) < '8', '3f', 'bf'))), '')"
+    scale = "array_join(transform(sequence(0, 7), j -> concat('7', translate(substring(h, 1153 + j, 1), '89abcdef', '01234567'))), '')"
+    return e.select("event_id", F.unhex(F.concat(F.translate(F.substring("h", 1, 896), "f", "e"), F.expr(high))).alias("rec"), F.unhex(F.expr(scale)).alias("scale"))
+
+
+def queries(spark, d) -> DataFrame:
+    u = table(spark, d, "events").select("user_id").distinct()
+    q = F.expr("transform(sequence(0L, 511L), j -> greatest(-1e0, least(1e0, ((user_id * 31 + head * 17 + j * j * 7) % 401 - 200) / 150e0)))")
+    return u.withColumn("head", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("user_id").alias("row_id"), "head", q.alias("q"))
+
+
+def selected(spark, d) -> DataFrame:
+    """user_id, pos, idx: each user's list, cut to its length (one in seven positions less, counted before the -1 are left out),
+    from two scopes, even and odd ids, one after the other."""
+    text = f"with {_TOK}, {_IDX}, n as (select user_id as uid, count(*) as c from events group by user_id) select i.user_id, pos, idx from i join n on n.uid = i.user_id where pos < c - floor(c / 7e0) and idx >= 0"
+    rows = query("selected", text)(spark, d)
+    return rows.where("idx % 2 = 0").unionByName(rows.where("idx % 2 = 1"))
+
+
+def _tokens(spark, d) -> DataFrame:
+    return selected(spark, d).select(F.col("user_id").alias("row_id"), F.col("idx").alias("id")).join(records(spark, d).withColumnRenamed("event_id", "id"), "id")
+
+
+def decode_records(spark, d) -> DataFrame:
+    v = paged.decoded(records(spark, d), ["event_id"])
+    return v.select("event_id", *(F.round(F.aggregate(F.slice("values", lo, n), F.lit(0.0), lambda s, x: s + x), 6).alias(name) for name, lo, n in (("low", 1, 448), ("high", 449, 64))), F.round(F.element_at("values", 65), 9).alias("value64"))
+
+
+def paged_gather(spark, d) -> DataFrame:
+    """The records of each list out of whole pages, decoded: their sum."""
+    r = records(spark, d).select(F.expr(f"event_id div {PAGE}").alias("page"), (F.col("event_id") % PAGE).alias("slot"), "rec", "scale")
+    got = paged.decoded(paged.gather(selected(spark, d), paged.pages(r, PAGE), PAGE), ["user_id", "pos", "page", "slot"])
+    return got.select("user_id", "pos", "page", "slot", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def attention_scores(spark, d) -> DataFrame:
+    return paged.scores(_tokens(spark, d), queries(spark, d)).select(F.col("row_id").alias("user_id"), "head", F.col("id").alias("event_id"), F.round("score", 6).alias("score"))
+
+
+def logsumexp(spark, d) -> DataFrame:
+    return paged.attend(_tokens(spark, d), queries(spark, d)).select(F.col("row_id").alias("user_id"), "head", F.round("lse", 6).alias("lse"))
+
+
+def attention_output(spark, d) -> DataFrame:
+    a = paged.attend(_tokens(spark, d), queries(spark, d))
+    return a.select(F.col("row_id").alias("user_id"), "head", F.posexplode("output").alias("pos", "x")).select("user_id", "head", "pos", F.round("x", 6).alias("output"))
+
+
+def sink_gate(spark, d) -> DataFrame:
+    """Sinks by user: negative infinity, infinity, a number, none."""
+    q = queries(spark, d)
+    sinks = q.select("row_id", "head", F.expr("case row_id % 4 when 0 then double('-Infinity') when 1 then double('Infinity') when 2 then 15e-1 + head end").alias("sink"))
+    a = paged.attend(_tokens(spark, d), q, sinks)
+    return a.select(F.col("row_id").alias("user_id"), "head", F.round("lse", 6).alias("lse"), F.posexplode("output").alias("pos", "x")).select("user_id", "head", "lse", "pos", F.round("x", 6).alias("output"))
+
+
+_X = "x as (select user_id, event_id, value * pow(cast(512 as double), -55e-2) as x from events)"
 
 TEXTS = {
-    "logsumexp": f"with {_X}, {_M}, {_LSE} select user_id, round(lse, 6) as lse from l",
-    "attention_scores": f"with {_X} select user_id, event_id, round(x, 6) as score from x",
-    "attention_output": f"with {_X}, {_M}, {_LSE} select x.user_id, round(sum(exp(x.x - lse) * x.event_id), 4) as output from x join l on x.user_id = l.user_id group by x.user_id",
-    "sink_gate": f"""with {_X}, {_M}, {_LSE}, o as (select x.user_id, max(lse) as lse, sum(exp(x.x - lse) * x.event_id) as output from x join l on x.user_id = l.user_id group by x.user_id),
-s as (select user_id, case user_id % 4 when 0 then cast('-Infinity' as double) when 1 then cast('Infinity' as double) when 2 then 15e-1 end as sink from o)
-select o.user_id, round(lse, 6) as lse, round(output * case when sink is null then 1e0 else 1e0 / (1e0 + exp(sink - lse)) end, 4) as output from o join s on o.user_id = s.user_id""",
     "scope_union": f"""with {_X}, h as (select user_id, 0 as scope, x from x where event_id % 2 = 0 union all select user_id, 1 as scope, x from x where event_id % 2 = 1),
 u as (select distinct user_id from x) select u.user_id, count(x) as n, round(coalesce(sum(x), 0e0), 6) as total from u left join h on u.user_id = h.user_id group by u.user_id""",
     "filter_sentinel": f"with {_TOK}, {_IDX} select user_id, pos, idx from i where idx >= 0",
     "prefix_then_filter": f"with {_TOK}, {_IDX} select user_id, pos, idx from i where pos < user_id % 40 and idx >= 0",
     "page_slot": f"with {_TOK}, {_IDX} select user_id, pos, cast(floor(idx / 64e0) as bigint) as page, idx % 64 as slot from i where idx >= 0",
-    "block_table_remap": f"with {_TOK}, {_IDX}, {_MAP} select user_id, pos, case when idx < 0 then -1 else phys * 64 + idx % 64 end as physical from i left join p on idx >= 0 and page = cast(floor(idx / 64e0) as bigint)",
-    "paged_gather": f"""with {_TOK}, {_IDX}, c as (select cast(floor(event_id / 64e0) as bigint) as page, event_id % 64 as slot, value from events)
-select i.user_id, i.pos, c.page, c.slot, c.value from i join c on c.page = cast(floor(i.idx / 64e0) as bigint) and c.slot = i.idx % 64 where i.idx >= 0""",
-    "poison_unused": f"with {_TOK}, {_IDX} select e.event_id, case when i.idx is null then cast('NaN' as double) when e.event_id = 1 then 0e0 else e.value end as value from events e left join (select distinct idx from i where pos < 20) i on i.idx = e.event_id",
+    "block_table_remap": f"with {_TOK}, {_IDX} select user_id, pos, case when idx < 0 then -1 else cast(floor(idx / 64e0) as bigint) * 48271 % {_PRIME} * 64 + idx % 64 end as physical from i",
+    "poison_unused": f"with {_TOK}, {_IDX}, n as (select user_id as uid, count(*) as c from events group by user_id) select e.event_id, case when i.idx is null then cast('NaN' as double) when e.event_id = 1 then 0e0 else e.value end as value from events e left join (select distinct idx from i join n on n.uid = i.user_id where pos < c - floor(c / 7e0)) i on i.idx = e.event_id",
     "recent_window": "select user_id, event_id, rn - 1 as back from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn <= 128",
     "sample_pad": """with s as (select user_id, event_id, row_number() over (partition by user_id order by md5(concat('7:', cast(event_id as string))), event_id) as rn from events),
-n as (select user_id, count(*) as c from events group by user_id), k as (select user_id, pos from n cross join (values (1), (2), (3), (4), (5), (6), (7), (8)) v(pos))
+n as (select user_id as uid, count(*) as c from events group by user_id), k as (select uid as user_id, pos from n cross join (values (1), (2), (3), (4), (5), (6), (7), (8)) v(pos))
 select k.user_id, cast(k.pos as bigint) as pos, coalesce(s.event_id, -1) as idx from k left join s on s.user_id = k.user_id and s.rn = k.pos""",
     "check_indices": "select pos from (select pos, row_number() over (order by md5(concat('3:', cast(pos as string))), pos) as rn from (select distinct event_id % 127 as pos from events) a) b where rn <= 2 union all select 127 as pos",
-    "valid_count_check": f"with {_TOK}, {_IDX} select user_id, cast(sum(case when pos < 20 and idx >= 0 then 1 else 0 end) as bigint) as valid, count(*) as declared from i group by user_id",
-    "valid_counts": "with n as (select user_id, count(*) as c from events group by user_id) select user_id, cast(q.q as bigint) as q, least(greatest(c - 3 + q.q + 1, 0), 128) as valid from n cross join (values (0), (1), (2)) q(q)",
+    "valid_count_check": f"with {_TOK}, {_IDX}, n as (select user_id as uid, count(*) as c, sum(case when event_id % 5 = 0 then 0 else 1 end) as v from events group by user_id), g as (select i.user_id, sum(case when pos < c - user_id % 3 and idx >= 0 then 1 else 0 end) as valid, max(v) as declared from i join n on n.uid = i.user_id group by i.user_id) select user_id, cast(valid as bigint) as valid, cast(declared as bigint) as declared, case when valid = declared then 1 else 0 end as same from g",
     "bucket3": "select event_id, case when b = 0 then cast('-Infinity' as double) when b = 2 then cast('Infinity' as double) else value end as sink, b - 1 as bucket from (select event_id, value, case when (value - 50) / 50 < -5e-1 then 0 when (value - 50) / 50 > 5e-1 then 2 else 1 end as b from events) t",
     "synthetic_clamped": "select event_id, least(1e0, greatest(-1e0, (event_id * 7919 % 4001 - 2000) / 1000e0)) as value from events",
 }
 
-QUERIES = {k: query(k, v) for k, v in TEXTS.items()}
-ORACLES = dict(TEXTS)
+QUERIES = {k: query(k, v) for k, v in TEXTS.items()} | {f.__name__: f for f in (decode_records, paged_gather, attention_scores, logsumexp, attention_output, sink_gate)}
+
+#: Records in DuckDB: the digits, then each byte by its place.
+_REC = """h as (select event_id, array_to_string(list_transform(range(0, 37), lambda k: md5(concat(event_id, ':', k))), '') as h from events),
+y as (select event_id, h, unnest(range(0, 512)) as pos from h),
+z as (select event_id, pos, case when pos < 448 then ('0x' || replace(substring(h, 2 * pos + 1, 2), 'f', 'e'))::int else ('0x' || substring(h, 897 + 4 * (pos - 448), 2))::int end as b, substring(h, 899 + 4 * (pos - 448), 1) < '8' as plus, 112 + ('0x' || substring(h, 1153 + pos // 64, 1))::int % 8 - 127 as e from y),
+v as (select event_id, pos, case when pos >= 448 then case when plus then 1 else -1 end * (1 + (b & 127) / 128) * case when b >= 128 then 1 else 0.5::double end
+  else case when b >= 128 then -1 else 1 end * pow(2::double, e) * case when (b & 127) < 8 then (b & 7) / 512 else (1 + (b & 7) / 8) * pow(2::double, ((b & 127) >> 3) - 7) end end as v from z)"""
+_SEL = """t as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as c from events), sel as (select user_id, pos, event_id as idx from t where event_id % 5 <> 0 and pos < c - c // 7)"""
+_ATT = f"""{_REC}, {_SEL}, q as (select user_id, head, unnest(range(0, 512)) as pos from (select distinct user_id from events), (values (0), (1)) h(head)),
+p as (select *, greatest(-1, least(1, ((user_id * 31 + head * 17 + pos * pos * 7) % 401 - 200) / 150)) as q from q),
+s as (select sel.user_id, head, idx, sum(q * v) * pow(512::double, -0.55::double) as score from sel join v on v.event_id = idx join p on p.user_id = sel.user_id and p.pos = v.pos group by all),
+l as (select user_id, head, max(score) as m from s group by all),
+lse as (select s.user_id, s.head, any_value(m) + ln(sum(exp(score - m))) as lse from s join l using (user_id, head) group by all),
+every as (select distinct user_id, head from q), w as (select s.user_id, s.head, idx, exp(score - lse) as w from s join lse using (user_id, head)),
+o as (select w.user_id, head, v.pos, sum(w * v) as x from w join v on v.event_id = idx group by all),
+full_ as (select every.user_id, every.head, pos, coalesce(lse, 'inf'::double) as lse, coalesce(x, 0) as x from every cross join (select unnest(range(0, 512)) as pos) d left join lse using (user_id, head) left join o using (user_id, head, pos))"""
+ORACLES = TEXTS | {
+    "decode_records": f"with {_REC} select event_id, round(sum(v) filter (where pos < 448), 6) as low, round(sum(v) filter (where pos >= 448), 6) as high, round(max(v) filter (where pos = 64), 9) as value64 from v group by event_id",
+    "paged_gather": f"with {_REC}, {_SEL} select user_id, sel.pos, idx // 64 as page, (idx % 64)::int as slot, round(sum(v), 6) as total from sel join v on v.event_id = idx group by all",
+    "attention_scores": f"with {_ATT} select user_id, head, idx as event_id, round(score, 6) as score from s",
+    "logsumexp": f"with {_ATT} select every.user_id, every.head, round(coalesce(lse, 'inf'::double), 6) as lse from every left join lse using (user_id, head)",
+    "attention_output": f"with {_ATT} select user_id, head, pos, round(x, 6) as output from full_",
+    "sink_gate": f"with {_ATT} select user_id, head, pos, round(lse, 6) as lse, round(case when lse = 'inf'::double then 0 else x * case user_id % 4 when 0 then 1 when 1 then 0 when 2 then 1 / (1 + exp(1.5::double + head - lse)) else 1 end end, 6) as output from full_",
+}

@@ -1,5 +1,5 @@
-"""Queries on ranking: a retrieval benchmark over `embeddings`. Queries are the vectors with ids below 20, the panel all
-others; a query's supports are the two smallest other ids of its label, its kind is its id's parity."""
+"""Queries on ranking: a retrieval benchmark over `embeddings`. Queries are the vectors with ids divisible by 50, the panel all
+others; a query's supports are the two smallest other ids of its label, its kind is the parity of its place among them."""
 
 from __future__ import annotations
 
@@ -10,12 +10,11 @@ from ..functions.vectors import dot, l2_normalize
 from ..operators import ranking
 from ..sources.tables import table
 
-_Q = "select vec_id as query_id, embedding as q, label from embeddings where vec_id < 20"
-_TOP = """with q as (select vec_id as query_id, embedding::double[] as q, label as ql from embeddings where vec_id < 20),
+_TOP = """with q as (select vec_id as query_id, embedding::double[] as q, label as ql from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id, list_dot_product(q, embedding::double[]) as score, label, ql from q join embeddings on vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s {where}),
 """
-_SUP = """u as (select query_id, vec_id, query_id % 2 as kind from (select query_id, e.vec_id, row_number() over (partition by query_id order by e.vec_id) as n
+_SUP = """u as (select query_id, vec_id, query_id // 50 % 2 as kind from (select query_id, e.vec_id, row_number() over (partition by query_id order by e.vec_id) as n
   from q join embeddings e on e.label = ql and e.vec_id <> query_id) where n <= 2),
 g as (select u.query_id, kind, sum(case when rank <= 10 then 1 / log2(rank + 1.0) else 0 end) / (1 + 1 / log2(3.0)) as ndcg, case when sum(case when rank <= 2 then 1 else 0 end) = 2 then 1 else 0 end as both2
   from u left join r on r.query_id = u.query_id and r.vec_id = u.vec_id group by u.query_id, kind)
@@ -24,7 +23,7 @@ g as (select u.query_id, kind, sum(case when rank <= 10 then 1 / log2(rank + 1.0
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql")), e.select("vec_id", F.col("embedding").alias("v"), "label")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql")), e.select("vec_id", F.col("embedding").alias("v"), "label")
 
 
 def cosine_topk(spark, d) -> DataFrame:
@@ -34,13 +33,15 @@ def cosine_topk(spark, d) -> DataFrame:
 
 def hard_negatives(spark, d) -> DataFrame:
     q, p = _parts(spark, d)
-    return ranking.top_k(q, p, 10, F.col("label") != F.col("ql")).select("query_id", "vec_id", "rank")
+    return ranking.top_k(q, p, 10, ("ql", "label")).select("query_id", "vec_id", "rank")
 
 
 def _scores(spark, d) -> DataFrame:
     q, p = _parts(spark, d)
-    n = Window.partitionBy("query_id").orderBy("vec_id")
-    sup = p.join(F.broadcast(q), (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("query_id"))).withColumn("n", F.row_number().over(n)).where("n <= 2").select("query_id", "vec_id", (F.col("query_id") % 2).alias("kind"))
+    # the three smallest ids of each label hold the two that are not the query's own
+    least = p.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 3").select("vec_id", F.col("label").alias("ql"))
+    near = q.select("query_id", "ql").join(least, "ql").where("vec_id <> query_id")
+    sup = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).where("n <= 2").select("query_id", "vec_id", F.expr("query_id div 50 % 2").alias("kind"))
     return ranking.ndcg(ranking.top_k(q, p, 10), sup)
 
 
@@ -63,8 +64,9 @@ def reward_retrieval(spark, d) -> DataFrame:
 
 
 def corpus_overlap(spark, d) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", "text")
-    return t.where("doc_id % 2 = 1").join(t.where("doc_id % 2 = 0").select("text"), "text", "left_semi").select("doc_id")
+    """Exact overlap of texts: digests meet, not texts."""
+    t = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    return t.where("doc_id % 2 = 1").join(t.where("doc_id % 2 = 0").select("h", "n"), ["h", "n"], "left_semi").select("doc_id")
 
 
 def masked_mean_pool(spark, d) -> DataFrame:
@@ -82,9 +84,7 @@ def l2_norm(spark, d) -> DataFrame:
 def contrastive_loss(spark, d) -> DataFrame:
     """Log-sum-exp of all scores less that of the scores of the same label, at temperature 0.05."""
     q, p = _parts(spark, d)
-    s = p.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", (F.col("label") == F.col("ql")).alias("own"), (dot(F.col("q"), F.col("v")) / 0.05).alias("x"))
-    m = s.groupBy("query_id").agg(F.max("x").alias("m"))
-    return s.join(m, "query_id").groupBy("query_id").agg(F.round(F.ln(F.sum(F.exp(F.col("x") - F.col("m")))) - F.ln(F.sum(F.when(F.col("own"), F.exp(F.col("x") - F.col("m"))).otherwise(0.0))), 6).alias("loss"))
+    return ranking.contrast(q, p, 0.05, ("ql", "label")).select("query_id", F.round("loss", 6).alias("loss"))
 
 
 QUERIES = {f.__name__: f for f in (cosine_topk, hard_negatives, ndcg_at_10, both_at_2, ndcg_slices, reward_retrieval, corpus_overlap, masked_mean_pool, contrastive_loss)} | {"l2_normalize": l2_norm}

@@ -38,12 +38,3 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     finite_guard(df).write.mode(mode).json(path)
 
 
-def archive(df: DataFrame, path: str, run_id: str) -> None:
-    """Append a run: a folder of its own below path."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
-
-
-def hashes(spark: SparkSession, path: str, exclude: str = r"(__pycache__|\.pyc$)") -> DataFrame:
-    """path, sha256 of all files below path, exclusion first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(~F.col("path").rlike(exclude)).select("path", F.sha2("content", 256).alias("sha256"))
