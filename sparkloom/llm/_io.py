@@ -13,7 +13,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _stashed: dict[str, SparkSession] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold a few MB of text, where the session has Spark's own bounds, which are of 64 MB."""
+    for key, own, few in (("maxBytesPerBatch", "67108864b", "4194304b"), ("maxRecordsPerBatch", "10000", "2000")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == own:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", few)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def write(df: DataFrame, path: str) -> None:
     """Write df as Parquet; the shuffle files of its plan go with the end of the write."""
+    small_batches(df.sparkSession)
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, None)
     conf.set(_CLEANUP, "true")

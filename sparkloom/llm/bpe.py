@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ._io import table
+from ._io import small_batches, table
 
 #: White space of the pattern's \s: what str.split() takes, but for the four information separators.
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -35,7 +35,7 @@ _LETTER = np.zeros(256, np.int64)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _ODD = regex.compile(r"[\x1c-\x1f]")
 #: Characters of text that are encoded together, or one text.
-BATCH = 6_000_000
+BATCH = 2_000_000
 _HASH = np.uint32(2654435769)
 
 
@@ -351,6 +351,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
 
     Null and empty texts have no ids and decode to an empty text. Rows are encoded one by one, so repeated rows, null
     doc_ids, further columns and very long texts need no care; memory follows the longest text and the kept words."""
+    small_batches(docs.sparkSession)
     shared, key = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes()), uuid.uuid4().hex
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
 

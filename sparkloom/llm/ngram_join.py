@@ -44,7 +44,7 @@ WIDEST, STEP = 1 << 16, 8_000_000
 #: Rows of two numbers, about 3 MB, up to which a table of ids is broadcast.
 BROADCAST_ROWS = 100_000
 #: Shingles that are ordered last, 1 MB at most: the most frequent of those that OFTEN of CHUNK consecutive shingles are.
-FREQUENT, OFTEN, CHUNK = 1 << 17, 4, 1 << 22
+FREQUENT, OFTEN, CHUNK = 1 << 17, 4, 1 << 21
 #: Rows of a frequent shingle that go to one task.
 SHARE = 100_000
 #: Bits of a shingle's hash, and bytes of it; texts of a slice, so that both fit a word.
