@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, over character and word inputs.
 
 A word enters as a vector of its own and the mean of vectors of its character trigrams. The network reads windows of 32
-words that overlap by 8; a text's score is that of its worst window. Training, in numpy in one task, is from a bounded
+words that overlap by 16; a text's score is that of its worst window. Training, in numpy in one task, is from a bounded
 sample of labelled texts: in every round each text gives the window that the network then finds worst."""
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ._io import table
 from ._text import slices, word_hashes, words
 from .language import held
 
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 16
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 16, 1 << 12, 12, 8, 8, 8
 #: The bound of the training sample: labelled texts of each class, by a hash of doc_id, and the longest text among them.
 SAMPLE, SAMPLE_CHARS = {1: 1000, 0: 2000}, 40_000
