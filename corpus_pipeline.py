@@ -1,18 +1,19 @@
 """A corpus pipeline: toxicity, near-duplicates, personal data, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the columns of documents,
-but for the last; its result is written as Parquet and read again. Extra columns pass through; null and empty texts are
-kept by every stage that filters, but for the mix, which takes documents with words only."""
+but for the last; its result is written as Parquet and read again, and the one before goes. Extra columns pass through,
+whatever their names; whole texts are read, however long. Null and empty texts are kept by every stage that filters, but
+for the mix, which takes documents with words only. Repeated rows are rows of their own to toxicity, personal data, mix and
+tokens; to near-duplicates, rows of one doc_id are one document, which stays or goes. Of equal texts the smallest doc_id
+stays. An empty table gives an empty one at every stage, and so does a table without labels for what is toxic: nothing is."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, mixing, ngram_join, pii, toxicity
-from sparkloom.llm._io import shared_dir, table
+from sparkloom.llm._io import discard, stash, table
 
 #: No SQL: a trained network and a tokenizer decide.
 ORACLE_SQL = None
@@ -29,12 +30,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents linked by a Jaccard similarity of 0.8 or more, directly or not, that of the smallest doc_id stays; of
     rows that repeat a doc_id, all stay that it keeps. Rows without a doc_id stay."""
     gone = ngram_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))  # whatever the columns' names
+    return whole.join(gone, F.col("__row.doc_id") == F.col("__gone"), "left_anti").select("__row.*")
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data and secrets; n_chars follows the text."""
-    out = pii.replace(docs)
+    out = pii.replace(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -55,8 +57,8 @@ STAGES = [("toxicity", not_toxic), ("ngram_join", one_of_each_group), ("pii", wi
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        if hasattr(before, "stash_path"):
+            discard(before)
     return docs

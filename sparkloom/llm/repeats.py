@@ -123,6 +123,9 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
     def answer(rows: pa.Table):
         if not len(rows):
             return
+        # rows that repeat a doc_id and a text have fetched the same stretch
+        same = np.logical_and.reduce([np.diff(rows[k].to_numpy()) == 0 for k in ("anchor", "ctx")])
+        rows = rows.filter(pa.array(np.append(True, ~same))).combine_chunks()
         a, col = rows["anchor"].to_numpy(), rows["bytes"].combine_chunks()
         cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
         size = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
@@ -139,7 +142,7 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
         yield pa.RecordBatch.from_arrays([*(rows[k].combine_chunks().take(at) for k in ("anchor", "ctx", "d", "pos")), pa.array(start, pa.int64()), pa.array(count, pa.int64()), pa.array(kind, pa.int32())], ["anchor", "ctx", "d", "pos", "start", "count", "kind"])
 
     schema = "anchor long, ctx long, d long, pos long, start long, count long, kind int"
-    small = rows.where("not big").select("anchor", "ctx", "weight", "d", "pos", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(judge, schema)
+    small = rows.where("not big").select("anchor", "ctx", "weight", "d", "pos", "bytes").repartition("anchor").sortWithinPartitions("anchor", "ctx").mapInArrow(judge, schema)
 
     # groups of more than `most` different stretches: one row per window of theirs, counted by a hash of all its symbols
     def explode(batches):
@@ -153,7 +156,7 @@ def _judge(docs: DataFrame, stretch: DataFrame, s: Symbols, kernel: Callable, or
                 h = _window_hashes(batch.column(5), n, s)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(5)), pa.array(start), pa.array(h.view(np.int64))], ["anchor", "ctx", "weight", "d", "pos", "start", "h"])
 
-    one = rows.where("big").select("anchor", "ctx", "weight", "d", "pos", "bytes").mapInArrow(explode, "anchor long, ctx long, weight long, d long, pos long, start long, h long")
+    one = rows.where("big").dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "weight", "d", "pos", "bytes").mapInArrow(explode, "anchor long, ctx long, weight long, d long, pos long, start long, h long")
     place = F.struct("d", (F.shiftright("pos", 20) + F.col("start")).alias("s"), "ctx")
     sums = one.groupBy("anchor", "h").agg(F.sum("weight").alias("w"), F.min(place).alias("first")).where("w > 1")
     big = one.join(sums, ["anchor", "h"]).select("anchor", "ctx", "d", "pos", "start", F.lit(1).cast("long").alias("count"), (F.when(place == F.col("first"), 1).otherwise(0) if order_matters else F.lit(0)).cast("int").alias("kind"))

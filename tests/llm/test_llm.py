@@ -94,6 +94,43 @@ def test_groups_above_the_bound_give_the_same(docs, s, kernel, order, module):
     assert few == many and few
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_strings_that_rolling_hashes_confuse(spark):
+    """Thue-Morse strings and their complements agree under polynomials modulo 2**64: as words, as runs of words, as bytes."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    runs = [" ".join(x[:512]) for x in (a, b)]
+    texts = [f"{a} {rest}", f"{b} {rest}", *runs, a + a, b + b, f"x{a[:800]}", f"y{b[:800]}", f"z{a[:800]}"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(d).collect()} == brute_join(rows)[0]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(d, digest=True).collect()} == brute_words(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(d, digest=True).collect()} == brute_bytes(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, with other texts: each is judged by its own text."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    x, y, z = text(120), text(120), text(120)
+    rows = [(None, x), (None, y), (None, f"{z} {x}"), (7, y), (7, z), (7, z), (None, None), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup(d, digest=True).collect())
+    want = brute_bytes([(k, t) for k, (_, t) in enumerate(rows)])
+    assert got == sorted((a, b, h) for a, b, _, h in want.values())
+    words = {}
+    for r in substring_dedup.dedup(d, digest=True).collect():
+        words.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    # of rows without an id, one document at the end of the order, x starts earlier alone than after z
+    assert sorted(words[None]) == [(0, 0), (120, 0), (120, 120), (240, 240)]
+    assert sorted(words[7]) == [(120, 0), (120, 0), (120, 0)]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(d).collect()} >= {(7, 116, 7), (8, 0, 8), (None, 0, None), (None, 116, 7)}
+
+
 def brute_join(rows) -> tuple[dict, int]:
     sets = {}
     for i, t, *_ in rows:
@@ -237,7 +274,7 @@ def test_exact_topk(spark):
 def test_pii(spark):
     rows = [(1, "ana.b12@mail7.example.com +1 (017) 555-7713 97.51.17.173 Frau Maria Meier 4111 1111 1111 1111 DE89370400440532013000"), (2, "again ana.b12@mail7.example.com, not clean: 123-45-6789"), (3, "clean text 12"), (4, None), (5, ""), (None, "Herr Meier 1.2.3.4 and 1.2.3.5"), (3, "clean text 12")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__m", F.lit(1))
-    got = pii.replace(d, count="n")
+    got = pii.replace(d, "k", count="n")
     out = sorted((r.doc_id or 0, r.text, r.n) for r in got.collect() if r.text)
     assert got.columns == ["doc_id", "text", "__m", "n"] and got.count() == len(rows)
     text = {i: t for i, t, _ in out}
@@ -249,10 +286,93 @@ def test_pii(spark):
     iban = re.search(r"DE\d{20}", text[1])[0]
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     many = spark.createDataFrame([(i, f"{i % 256}.{i // 256}.1.1") for i in range(3000)], "doc_id long, text string")
-    made = pii.replace(many).select("text").distinct()
+    made = pii.replace(many, "k").select("text").distinct()
     assert made.count() == 3000 and made.join(many, "text").count() == 0
 
 
+def test_names_keep_one_surrogate_a_word(spark):
+    """Over 1,000 surnames and 40 given names: a word's surrogate is one, others have others, gender and script stay, keys differ."""
+    rng = random.Random(2)
+    letters = "bcdfghjklmnprstvw"
+    surnames = sorted({"".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(4)).capitalize() for _ in range(1000)})
+    people = [("Frau", rng.choice(pii.GIVEN["f"]), x) if i % 2 else ("Herr", rng.choice(pii.GIVEN["m"]), x) for i, x in enumerate(surnames)]
+    rows = [(i, f"{t} {g} {x} und {t} {x}, {'Mrs' if t == 'Herr' else 'Mr'}. {x}; {g} {x}.") for i, (t, g, x) in enumerate(people)]
+    rows += [(9000, "господин Иванов"), (9001, "MR JOHN SMITH met John Smith"), (9002, "Dr. Anna Kowalska, Prof. Dr. Kowalska"), (9003, "Ms Smith-Jones")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(d, "k1").collect()}
+    word: dict = {}
+    for i, (t, g, x) in enumerate(people):
+        m = re.fullmatch(rf"{t} (\w+) (\w+) und {t} (\w+), (?:Mr|Mrs)\. (\w+); (\w+) (\w+)\.", got[i])
+        assert m and m[2] == m[3] == m[4] == m[6] and m[1] == m[5], got[i]
+        assert m[1].endswith("a") == (g in pii.GIVEN["f"])
+        for a, b in ((g, m[1]), (x, m[2])):
+            assert word.setdefault(a, b) == b
+    assert len(set(word.values())) == len(word) and not set(word.values()) & set(word)
+    assert re.fullmatch(r"господин [А-Я][а-я]+", got[9000]) and "Иванов" not in got[9000]
+    m = re.fullmatch(r"MR ([A-Z]+) ([A-Z]+) met (\w+) (\w+)", got[9001])
+    assert m[1] == m[3].upper() and m[2] == m[4].upper() and "SMITH" not in got[9001] and got[9003].startswith(f"Ms {m[4]}-")
+    m = re.fullmatch(r"Dr\. (\w+a) (\w+), Prof\. Dr\. (\w+)", got[9002])
+    assert m[2] == m[3] and "Kowalska" not in got[9002]
+    other = {r.doc_id: r.text for r in pii.replace(d, "k2").collect()}
+    assert all(other[i] != got[i] for i in got)
+    assert {r.doc_id: r.text for r in pii.replace(d.repartition(5), "k1").collect()} == got
+
+
+def test_surrogates_when_formats_are_full(spark):
+    """All entities of a small format: still one to one; and phones with blanks."""
+    e = spark.createDataFrame([("ip", f"{i}.{j}.1.1") for i in range(10) for j in range(10)] + [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, entity string")
+    got = pii.one_to_one(e, "k").collect()
+    assert len({r.entity for r in got}) == len({r.surrogate for r in got}) == 126
+    text = pii.replace(spark.createDataFrame([(1, "call 555 123 4567 or 555-123-4567")], "doc_id long, text string"), "k").first().text
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} or \d{3}-\d{3}-\d{4}", text) and "123" not in text.split(" or ")[0][5:]
+
+
+def test_empty_tables(spark):
+    """No rows in, none out, in every operator."""
+    none = spark.createDataFrame([], SCHEMA + ", lang2 string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    import public_tokenizers
+
+    made = [suffix_dedup.dedup(none), substring_dedup.dedup(none, digest=True), ngram_join.join(none), pii.replace(none, "k"), mixing.mix(none), bpe.encode(none, public_tokenizers.path("word_bpe_49k.json")),
+            toxicity.score(none, toxicity.fit(none, labels)), language.identify(none, language.learn(none)), embedding_dedup.dedup(vectors), exact_topk.top_k(exact_topk.whole(vectors), 3, F.lit(True))]
+    assert [m.count() for m in made] == [0] * len(made)
+
+
+def test_pipeline_stages(spark, docs, rows, tmp_path):
+    """Each stage on its own input, with nulls, empty and long texts, repeats and clashing names; then the chain."""
+    import corpus_pipeline as c
+
+    labels = [(r[0], int(bool(r[1]) and "badword" in r[1])) for r in rows]
+    extra = [(5000 + i, f"some badword here {i} badword", "a", "en", 1, "x") for i in range(40)] + [(None, "no id at all", "a", "en", 1, "x"), (3, rows[3][1], "b", "en", 2, "y")]
+    labels += [(r[0], 1) for r in extra[:40]]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.createDataFrame(rows + extra, SCHEMA).withColumn("__gone", F.lit(7)).withColumn("n_chars", F.length("text").cast("long"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    clean = c.not_toxic(spark, d, str(tmp_path))
+    left = {r.doc_id for r in clean.collect()}
+    assert clean.columns == d.columns and not left & set(range(5000, 5040)) and len(left & {r[0] for r in rows}) >= 0.95 * len(rows)
+    one = c.one_of_each_group(spark, d, str(tmp_path))
+    want, _ = brute_join([r for r in rows + extra[:40]])
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect())
+    assert one.columns == d.columns and kept == sorted([(False, i) for i, (_, comp) in want.items() if i == comp] + [(False, 3)] * (want[3][1] == 3) + [(True, 0)])
+    safe = c.without_pii(spark, d, str(tmp_path))
+    assert safe.columns == d.columns and sorted((r.doc_id or -1, r.text or "") for r in safe.collect()) == sorted((r.doc_id or -1, r.text or "") for r in d.collect())
+    taken = c.mixed(spark, d, str(tmp_path))
+    total = sum(len(WORD.findall(r.text or "")) for r in d.collect())
+    assert taken.columns == d.columns and abs(sum(len(WORD.findall(r.text or "")) for r in taken.collect()) - 1.5 * total) < 5000
+    assert sorted(map(str, c.mixed(spark, d.repartition(3), "").collect())) == sorted(map(str, taken.collect()))
+    assert {r.doc_id for r in c.tokens(spark, d, "").collect()} == {r.doc_id for r in d.collect()}
+    out = d
+    for _, stage in c.STAGES:
+        out = stage(spark, out, str(tmp_path))
+    assert sorted(map(str, c.run(spark, str(tmp_path)).collect())) == sorted(map(str, out.collect()))
+    empty = d.where("false")
+    for _, stage in c.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_language(spark):
     rng = random.Random(3)
     words = {"en": "the of and this with house".split(), "de": "der die und nicht haus ist".split(), "fr": "le la des maison est pas".split()}
