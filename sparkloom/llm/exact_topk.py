@@ -1,22 +1,24 @@
 """Exact top-k by inner product with two cover trees, one over queries and one over data.
 
-Data are dealt into blocks, each with a tree of its own; batches of queries visit every block. A pair of nodes is left out
-if no inner product between them can reach the worst kth score of the queries below the query node: the product of the
-centres and, for each, its radius times the other's reach bound it."""
+Data go to the nearest of some pivots, one for about DATA rows, and within a pivot's region to blocks of bounded size, each
+with a tree of its own. Queries are indexed too, and the two trees are traversed together: a pair of nodes is left out if no
+inner product between them can reach the worst kth score of the queries below the query node: the product of the centres
+and, for each, its radius times the other's reach bound it. A query is first asked in a block of its own region; its kth
+score there then tells which other regions, by centre and radius, can hold anything better, and it goes to those alone."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import table
+from ._io import stash, table
 
-#: Rows of a data block and queries of a batch, both on average; points of a leaf.
+#: Rows of a region and of a data block, both on average; queries of a batch; points of a leaf.
 DATA, QUERIES, LEAF = 8192, 1024, 64
+#: Products in double precision are exact below this sum.
+EXACT = 2.0**52
 
 
 class CoverTree:
@@ -95,118 +97,216 @@ class CoverTree:
 
 
 def dual_search(data: np.ndarray, ids: np.ndarray, tree: CoverTree, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each query's best k, higher scores first, then smaller ids; -inf where there are fewer."""
+    """(scores, ids) of each query's best k, higher scores first, then smaller ids; -inf where there are fewer.
+
+    Both trees are descended together, the wider node of a pair first, the more promising child of the data's first; a pair of
+    leaves is one product."""
     q = CoverTree(queries)
+    asked = queries[q.order]  # the queries below a node stand together
     best, who = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
     reach_q, reach_d = np.sqrt(q.sq), np.sqrt(tree.sq)
+    cq, cd = np.array(q.center), np.array(tree.center)
+    rq, rd = np.array(q.radius), np.array(tree.radius)
+    mq, md = queries[cq], data[cd]
 
-    def bound(a: int, b: int) -> float:
-        ca, cb = q.center[a], tree.center[b]
-        return float(queries[ca] @ data[cb]) + q.radius[a] * reach_d[cb] + tree.radius[b] * reach_q[ca] + q.radius[a] * tree.radius[b]
-
-    leaves = [a for a in range(len(q.center)) if not q.children[a]]
-    for a in leaves:  # depth first over the queries' side, best first over the data's
-        rows = q.order[slice(*q.span[a])]
-        heap = [(-bound(a, 0), 0)]
-        while heap:
-            top, b = heapq.heappop(heap)
-            worst = best[rows, -1].min()
-            if -top < worst - 1e-6 * abs(worst):  # all the rest is below every kth score of this group
-                break
-            if tree.children[b]:
-                for child in tree.children[b]:
-                    if (u := bound(a, child)) >= worst:
-                        heapq.heappush(heap, (-u, child))
-                continue
-            cols = tree.order[slice(*tree.span[b])]
-            s = queries[rows] @ data[cols].T
-            hot = np.flatnonzero((s >= best[rows, -1:]).any(1))
-            if not len(hot):
-                continue
-            both = np.concatenate([best[rows[hot]], s[hot]], 1)
-            names = np.concatenate([who[rows[hot]], np.broadcast_to(ids[cols], (len(hot), len(cols)))], 1)
+    def bounds(a: int, b: np.ndarray) -> np.ndarray:
+        return md[b] @ mq[a] + rq[a] * reach_d[cd[b]] + rd[b] * reach_q[cq[a]] + rq[a] * rd[b]
+
+    def leaf(a: int, b: int) -> None:
+        lo, hi = q.span[a]
+        cols = tree.order[slice(*tree.span[b])]
+        s = asked[lo:hi] @ data[cols].T
+        hot = np.flatnonzero((s >= best[lo:hi, -1:]).any(1))
+        if len(hot):
+            both = np.concatenate([best[lo + hot], s[hot]], 1)
+            names = np.concatenate([who[lo + hot], np.broadcast_to(ids[cols], (len(hot), len(cols)))], 1)
             order = np.lexsort((names, -both), axis=1)[:, :k]
-            best[rows[hot]], who[rows[hot]] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-    return best, who
+            best[lo + hot], who[lo + hot] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+
+    stack = [(0, 0, np.inf)]
+    while stack:
+        a, b, top = stack.pop()
+        lo, hi = q.span[a]
+        worst = best[lo:hi, -1].min()
+        if top < worst - 1e-6 * abs(worst):
+            continue
+        if not q.children[a] and not tree.children[b]:
+            leaf(a, b)
+        elif tree.children[b] and (not q.children[a] or rd[b] >= rq[a]):
+            below = np.array(tree.children[b])
+            u = bounds(a, below)
+            order = np.argsort(u)  # the best child comes off the stack first
+            stack += [(a, int(c), float(x)) for c, x in zip(below[order], u[order], strict=True)]
+        else:
+            stack += [(c, b, float(bounds(c, np.array([b]))[0])) for c in q.children[a]]
+    back = np.argsort(q.order)
+    return best[back], who[back]
 
 
 def whole(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of each component; vectors that are null, empty, hold a null, a non-finite
-    or one of 2**31 or more after scaling take no part."""
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and size(e) > 0")
-    ok = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < 2.0**31)), F.lit(False))
-    return x.where(ok).select("vec_id", F.transform("e", lambda c: F.floor(c * scale)).alias("v"))
+    """(vec_id, v array<double>): floor(scale * x) of each component, a whole number whatever its size; vectors that are null or
+    hold a null or a value that is not finite, before or after scaling, take no part, nor do rows without a vec_id."""
+    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
+    ok = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float("inf"))), F.lit(False))
+    far = 2.0**53  # from here on every double is whole
+    return x.where(ok).select("vec_id", F.transform("e", lambda c: F.when(F.abs(c * scale) < far, F.floor(F.when(F.abs(c * scale) < far, c * scale).otherwise(0.0)).cast("double")).otherwise(c * scale)).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int, is_query) -> DataFrame:
-    """vectors (vec_id, v array<long>) -> query_id, rank, vec_id, score: for each row that is_query selects, the k best of
-    all other rows of the same length by inner product, ties to the smaller vec_id.
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(len(col), dim)
 
-    Of equal vectors only the k + 1 of smallest vec_id can be in a list: a hot one costs no more than another. Scores are
-    exact (64-bit integers). An empty table gives no rows; rows that repeat a vec_id are one."""
-    v = vectors.groupBy("vec_id", "v").agg(F.lit(1).alias("one")).drop("one").withColumn("dim", F.size("v"))
-    data = v.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    asked = v.where(is_query).groupBy("v", "dim").agg(F.min("vec_id").alias("vec_id"))
-    n = v.count()
-    blocks = max(1, -(-n // DATA))
-    dealt = data.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "dim", "vec_id", "v")
-    # each query goes to each block: as many rows as queries times blocks, in batches that are sorted to stand together
-    rows = dealt.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "dim", "vec_id", "v"))
+
+def ordered(score: int) -> str:
+    """A string whose order is that of whole numbers."""
+    t = str(abs(score))
+    return f"p{len(t):04d}{t}" if score >= 0 else f"n{9999 - len(t):04d}" + "".join(str(9 - int(c)) for c in t)
+
+
+def _regions(v: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """v (vec_id, v, dim, huge) -> with region (the nearest pivot's number, -1 for huge vectors) and far (its distance); the
+    pivots by dim: about one in DATA of the vectors, by a hash, with the origin where there is none."""
+    picked = v.where(~F.col("huge") & (F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(DATA)) == 0)).select("dim", "v").distinct().toArrow()
+    dims, rows = picked["dim"].to_pylist(), picked["v"].to_pylist()
+    pivots = {d: np.array([r for r, x in zip(rows, dims, strict=True) if x == d]) for d in set(dims)}
+
+    def work(batches):
+        for batch in batches:
+            dim, huge = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            region, far = np.full(len(dim), -1, np.int64), np.zeros(len(dim))
+            for d in np.unique(dim[~huge]):
+                at = np.flatnonzero((dim == d) & ~huge)
+                x, p = _matrix(batch.column(1).take(pa.array(at)), int(d)), pivots.get(int(d), np.zeros((1, int(d))))
+                for lo in range(0, len(at), 512):
+                    some = x[lo : lo + 512]
+                    dd = np.maximum((some**2).sum(1)[:, None] + (p**2).sum(1) - 2 * some @ p.T, 0)
+                    region[at[lo : lo + 512]] = near = dd.argmin(1)
+                    far[at[lo : lo + 512]] = np.sqrt(((some - p[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(far)], ["vec_id", "v", "dim", "huge", "region", "far"])
+
+    return v.select("vec_id", "v", "dim", "huge").mapInArrow(work, "vec_id long, v array<double>, dim int, huge boolean, region long, far double"), pivots
+
+
+def _asked(rows: DataFrame, k: int, exact: bool) -> DataFrame:
+    """rows (dim, region, block, kind: 0 data, 1 queries, vec_id, v) -> asked, vec_id, score, place: of each query of a block the
+    k best of its data."""
 
     def work(batches):
-        held: list[tuple] = []  # rows of one block, length and kind
-        tree = None
-
-        def close(key):
-            nonlocal tree
-            if key[2] == 0:
-                x = np.array([r[4] for r in held], np.int64)
-                fits = bool(np.abs(x).max() ** 2 * x.shape[1] < 2**52)  # products are exact in double precision
-                tree = key[:2], (np.array([r[3] for r in held]), x.astype(float) if fits else x, CoverTree(x.astype(float)) if fits else None, fits)
-            held.clear()
-
-        last = None
+        key, held, tree, asked = None, [], None, []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                key = (r[0], r[1], r[2])  # block, dim, kind
-                if key != last and last is not None:
-                    if last[2] == 0:
-                        close(last)
-                    elif held:
-                        yield from reply(held, tree)
-                        held.clear()
-                last = key
-                held.append((r[0], r[2], r[1], r[3], r[4]))
-                if key[2] == 1 and len(held) >= QUERIES:
-                    yield from reply(held, tree)
-                    held.clear()
-        if held and last[2] == 1:
-            yield from reply(held, tree)
-
-    def reply(held, tree):
-        if tree is not None and tree[0] == (held[0][0], held[0][2]):
-            yield from answer_with(tree[1], held)
-
-    def answer_with(tree, q):
-        data_ids, data, t, exact = tree
-        ids, x = np.array([r[3] for r in q]), np.array([r[4] for r in q], np.int64)
-        if exact and int(np.abs(x).max(initial=0)) * int(np.abs(data).max(initial=0)) * x.shape[1] < 2**52:
-            best, who = dual_search(data, data_ids, t, x.astype(float), k + 1)
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            cuts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                now, kind, dim = tuple(keys[:3, lo].tolist()), int(keys[3, lo]), int(keys[0, lo])
+                if now != key:
+                    if asked:
+                        yield from answer(tree, asked)
+                    key, held, tree, asked = now, [], None, []
+                part = batch.column(4)[lo:hi].to_numpy(), _matrix(batch.column(5)[lo:hi], dim)
+                if kind == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    tree, held = (ids, x, CoverTree(x) if not exact and dim else None), []
+                if tree is not None:
+                    asked.append(part)
+                    if sum(len(p[0]) for p in asked) >= QUERIES:
+                        yield from answer(tree, asked)
+                        asked = []
+        if asked:
+            yield from answer(tree, asked)
+
+    def answer(tree, asked):
+        data_ids, data, t = tree
+        ids, x = (np.concatenate(c) for c in zip(*asked, strict=True))
+        if t is not None:
+            best, who = dual_search(data, data_ids, t, x, k)
             keep = np.isfinite(best)
-            cols = [np.broadcast_to(ids[:, None], best.shape)[keep], who[keep], best[keep].astype(np.int64)]
-        else:
-            whole_ = data.astype(np.int64)
-            pick = [np.lexsort((data_ids, -(whole_ @ row)))[: k + 1] for row in x]
-            cols = [np.repeat(ids, [len(p) for p in pick]), data_ids[np.concatenate(pick)], np.concatenate([whole_[p] @ row for p, row in zip(pick, x, strict=True)])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["asked", "vec_id", "score"])
-
-    found = rows.select("block", "dim", "kind", "vec_id", "v").repartition("block").sortWithinPartitions("block", "dim", "kind", "v").mapInArrow(work, "asked long, vec_id long, score long")
-    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+            a, b, s = np.broadcast_to(ids[:, None], best.shape)[keep], who[keep], best[keep].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.nulls(len(a), pa.string())], names)
+            return
+        wide = [[int(c) for c in row] for row in data]
+        for i, row in zip(ids.tolist(), x, strict=True):  # sums of any size
+            own = [int(c) for c in row]
+            s = [sum(map(int.__mul__, own, other)) for other in wide]
+            top = sorted(range(len(s)), key=lambda j: (-s[j], data_ids[j]))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(top), pa.int64()), pa.array(data_ids[top]), pa.array([max(-(2**63), min(2**63 - 1, s[j])) for j in top], pa.int64()), pa.array([ordered(s[j]) for j in top], pa.string())], names)
+
+    names = ["asked", "vec_id", "score", "place"]
+    key = ["dim", "region", "block"]
+    return rows.select(*key, "kind", "vec_id", "v").repartition(*key).sortWithinPartitions(*key, "kind", "vec_id").mapInArrow(work, "asked long, vec_id long, score long, place string")
+
+
+def top_k(vectors: DataFrame, k: int, is_query) -> DataFrame:
+    """vectors (vec_id, v array<double> of whole numbers) -> query_id, rank, vec_id, score: for each row that is_query selects,
+    the k best of all other rows of the same length by inner product, ties to the smaller vec_id.
+
+    Of equal vectors only the k + 1 of smallest vec_id can be in a list: a hot one costs no more than another. Scores are
+    exact; one beyond 64 bits is ranked by its true value and shown as the nearest that a long holds. Where a sum could pass
+    2**52, whole numbers of any length take the place of trees: vectors so large are asked of all, and compared with all. An
+    empty table gives no rows; rows that repeat a vec_id and a vector are one; empty vectors have products of 0."""
+    v = vectors.groupBy("vec_id", "v").agg(F.lit(1).alias("one")).select("vec_id", "v", F.size("v").alias("dim"))
+    v = v.withColumn("huge", F.exists("v", lambda c: c * c * F.col("dim") >= EXACT))
+    placed, pivots = _regions(v)
+    placed = stash(placed)
+    data = placed.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    sizes = data.groupBy("dim", "region").agg(F.max("far").alias("radius"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + F.when(F.col("region") >= 0, c * c).otherwise(0.0)))).alias("reach"), F.ceil(F.count("*") / DATA).cast("int").alias("blocks"))
+    # a row for each region, that is for DATA vectors
+    regions = sizes.toArrow().to_pylist()
+    sizes = stash(sizes)
+    in_block = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col("blocks")).cast("int")
+    dealt = stash(data.join(F.broadcast(sizes.select("dim", "region", "blocks")), ["dim", "region"]).select("dim", "region", in_block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v"))
+    asked = placed.where(is_query).groupBy("v", "dim", "region", "huge").agg(F.min("vec_id").alias("vec_id"))
+    # first in one block of the own region
+    at_home = asked.where(~F.col("huge")).join(F.broadcast(sizes.select("dim", "region", "blocks")), ["dim", "region"]).select("dim", "region", in_block.alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
+    first = stash(_asked(dealt.where("region >= 0").union(at_home), k + 1, False))
+    worst = first.groupBy("asked").agg(F.min("score").alias("least"), F.count("*").alias("c")).select("asked", F.when(F.col("c") > k, F.col("least")).alias("least"))
+    # then wherever the bound is not below the kth score there
+    rest = asked.join(at_home.select(F.col("vec_id").alias("asked"), F.col("region").alias("own"), F.col("block").alias("home")), F.col("vec_id") == F.col("asked"), "left").drop("asked")
+    rest = rest.join(worst, F.col("vec_id") == F.col("asked"), "left").select("vec_id", "v", "dim", "huge", "own", "home", "least")
+
+    def route(batches):
+        for batch in batches:
+            dim, huge = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            own, home, least = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+            at, regs, blocks = [], [], []
+            for d in np.unique(dim):
+                rows = np.flatnonzero(dim == d)
+                mine = [r for r in regions if r["dim"] == d]
+                x = _matrix(batch.column(1).take(pa.array(rows)), int(d))
+                p = pivots.get(int(d), np.zeros((1, int(d))))
+                for r in mine:
+                    go = huge[rows] | (r["region"] < 0) | np.isnan(least[rows])
+                    if r["region"] >= 0:
+                        c = p[r["region"]]
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            bound = np.minimum(x @ c + np.sqrt((x**2).sum(1)) * (r["radius"] * (1 + 1e-9) + 1e-6), np.sqrt((x**2).sum(1)) * r["reach"] * (1 + 1e-9))
+                        go |= ~(bound * (1 + 1e-9) + 1e-6 < least[rows])
+                    for block in range(r["blocks"]):
+                        hit = rows[go & ~((own[rows] == r["region"]) & (home[rows] == block) & (r["region"] >= 0))]
+                        at.append(hit), regs.append(np.full(len(hit), r["region"])), blocks.append(np.full(len(hit), block))
+            at = np.concatenate(at) if at else np.zeros(0, np.int64)
+            regs, blocks = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (regs, blocks))
+            i = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(i), pa.array(regs), pa.array(blocks.astype(np.int32)), pa.array(np.ones(len(at), np.int32)), batch.column(0).take(i), batch.column(1).take(i), batch.column(3).take(i)], ["dim", "region", "block", "kind", "vec_id", "v", "huge"])
+
+    routed = stash(rest.mapInArrow(route, "dim int, region long, block int, kind int, vec_id long, v array<double>, huge boolean"))
+    wide = (F.col("region") < 0) | F.col("huge")  # sums of any size
+    key = ["dim", "region", "block", "kind", "vec_id", "v"]
+    found = first.union(_asked(dealt.where("region >= 0").union(routed.where(~wide).select(*key)), k + 1, False))
+    if any(r["region"] < 0 for r in regions):
+        found = found.union(_asked(dealt.union(routed.where(wide).select(*key)), k + 1, True))
+        # whole numbers below 2**52 in the same order of strings
+        digits = F.abs("score").cast("string")
+        small = F.when(F.col("score") >= 0, F.concat(F.lit("p"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(F.concat(F.lit("n"), (9999 - F.length(digits)).cast("string"), F.translate(digits, "0123456789", "9876543210")))
+        order = [F.desc(F.coalesce("place", small)), F.col("vec_id")]
+    else:
+        order = [F.desc("score"), F.col("vec_id")]
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).where(F.col("n") <= k + 1)
     # back to every query of an equal vector, each without itself
-    same = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(asked.select("v", F.col("vec_id").alias("asked")), "v").select("query_id", "asked")
+    same = placed.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(asked.select("v", F.col("vec_id").alias("asked")), "v").select("query_id", "asked")
     out = same.join(found, "asked").where("query_id <> vec_id")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("n"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_topk(spark, sf_dir) -> DataFrame:

@@ -258,17 +258,38 @@ def test_embedding_lists_meet_a_small_audit(spark, monkeypatch):
     assert sum(r.n_links for r in got) >= 0.99 * ((x @ x.T >= 0.9).sum() - 1200)
 
 
-def test_exact_topk(spark):
+@pytest.mark.parametrize("data", [8192, 40])
+def test_exact_topk(spark, monkeypatch, data):
+    """Against all products in whole numbers: ties, repeated vectors and rows, huge, empty and short ones, none with a value that
+    is not finite; in one block, and in many regions, of which a query visits few."""
+    monkeypatch.setattr(exact_topk, "DATA", data)
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.standard_normal((400, 8)), np.repeat(rng.standard_normal((1, 8)), 60, 0)]).astype(np.float32)
-    v = np.floor(64 * x.astype(float)).astype(np.int64)
-    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(1000, None), (1020, [float("inf")] * 8), (1040, [None] * 8)]
-    got = exact_topk.top_k(exact_topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), 7, F.col("vec_id") % 20 == 0).collect()
+    near = rng.standard_normal((6, 8)) * 40
+    x = np.concatenate([rng.standard_normal((300, 8)), np.repeat(rng.standard_normal((1, 8)), 60, 0), near[rng.integers(0, 6, 300)] + rng.standard_normal((300, 8))]).astype(np.float32)
+    vecs = [r.tolist() for r in x] + [[1e8, 0.0] + [0.0] * 6, [5e7, 1.0] + [0.0] * 6, [-1e30] * 8, [3e38] * 8, [2.0**40] * 8, [], [], [1.5, 2.5], [0.5, -1.0], [0.0] * 8]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(1000, None), (1020, [float("inf")] * 8), (1040, [None] * 8), (None, [1.0] * 8), (3, vecs[3])]
+    got = exact_topk.top_k(exact_topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("x"))), 7, F.col("vec_id") % 5 == 0).collect()
+    ints = [[int(np.floor(np.float64(np.float32(c)) * 64)) for c in v] for v in vecs]
     want = set()
-    for q in range(0, len(x), 20):
-        best = sorted((-int(v[q] @ v[j]), j) for j in range(len(x)) if j != q)[:7]
-        want |= {(q, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {tuple(r) for r in got} == want
+    for q in range(0, len(vecs), 5):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[j])), j) for j in range(len(vecs)) if j != q and len(vecs[j]) == len(vecs[q]))[:7]
+        want |= {(q, k + 1, j, max(-(2**63), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_both_trees_are_pruned(monkeypatch):
+    """Clusters far apart: most pairs of leaves are never multiplied."""
+    rng = np.random.default_rng(1)
+    centers = rng.standard_normal((20, 16)) * 100
+    x, q = (centers[rng.integers(0, 20, n)] + rng.standard_normal((n, 16)) for n in (4000, 1000))
+    tree, products = exact_topk.CoverTree(x), []
+    lexsort = np.lexsort
+    monkeypatch.setattr(exact_topk.np, "lexsort", lambda *a, **k: products.append(1) or lexsort(*a, **k))
+    best, who = exact_topk.dual_search(x, np.arange(len(x)), tree, q, 5)
+    leaves = [sum(not c for c in t.children) for t in (tree, exact_topk.CoverTree(q))]
+    assert len(products) < leaves[0] * leaves[1] / 5
+    s = q @ x.T
+    assert np.allclose(np.sort(best, 1), np.sort(s, 1)[:, -5:])
 
 
 def test_pii(spark):
