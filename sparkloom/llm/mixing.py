@@ -45,33 +45,51 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return s.select(*sources.columns, F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"), "budget")
 
 
+def _ahead(sums: DataFrame, keys: list[str], at: str, value: str, name: str) -> DataFrame:
+    """sums with, as name, the sum of value over the rows of the keys that come before in the order of the whole number at: within
+    runs of BUCKET numbers, and between those over a row for each."""
+    run = F.floor(F.col(at) / BUCKET)
+    inside = Window.partitionBy(*keys, "__run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    s = sums.withColumn("__run", run)
+    runs = s.groupBy(*keys, "__run").agg(F.sum(value).alias("__z"))
+    between = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__z").over(between), F.lit(0).cast("long"))).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__run").alias("__r"), "__before")
+    on = F.col("__run") == F.col("__r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    s = s.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long"))).join(runs, on)
+    return s.withColumn(name, F.col("__before") + F.col("__in")).select(*sums.columns, name)
+
+
 def queues(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """docs (doc_id, source, size) -> a row for each document and copy: besides those columns `dup`, `copy`, `source_size`,
-    `target`, `finish`, `position` (sizes in the mix up to and including it), `taken` (whether the budget holds it).
+    """docs (doc_id, source, size, and tie, a hash of the text) -> a row for each document and copy: besides those columns `dup`,
+    `copy`, `source_size`, `target`, `finish`, `position` (sizes in the mix up to and including it), `taken` (whether the
+    budget holds it).
 
-    Rows that repeat a document are documents of their own, told apart by `dup`. Null sources form one source; null sizes
+    Rows that repeat a document are documents of their own, told apart by `dup`, in the order of tie. Null sources form one source; null sizes
     count 0; copies without size have no finish time and are not taken. No task sees a whole source: sums run within
     buckets of the shuffled order, and between buckets over one row for each."""
-    docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    d = docs.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))))
+    docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "tie")
+    d = docs.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("tie")))
     goal = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")), weights, share, most)
     goal = goal.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / BUCKET))).withColumn("n_ranges", F.greatest(F.lit(1), F.ceil(F.sum("source_docs").over(Window.partitionBy()) / BUCKET))).withColumnRenamed("source", "s")
     d = d.join(goal, d["source"].eqNullSafe(goal["s"])).drop("s").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(most))))
     d = d.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "copy", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "dup")))
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("n_buckets")))
     inside = Window.partitionBy("source", "copy", "bucket").orderBy("h", "doc_id", "dup").rowsBetween(Window.unboundedPreceding, 0)
-    sums = d.groupBy("source", "copy", "bucket").agg(F.sum("size").alias("z"))
-    sums = sums.select(F.col("source").alias("s"), F.col("copy").alias("c"), F.col("bucket").alias("b"), (F.sum("z").over(Window.partitionBy("source").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("z")).alias("base"))
+    sums = d.groupBy("source", "copy", "bucket").agg(F.sum("size").alias("z"), F.first("n_buckets").alias("n"))
+    sums = _ahead(sums.withColumn("at", (F.col("copy") - 1) * F.col("n") + F.col("bucket")), ["source"], "at", "z", "base")
+    sums = sums.select(F.col("source").alias("s"), F.col("copy").alias("c"), F.col("bucket").alias("b"), "base")
     d = d.withColumn("cum", F.sum("size").over(inside)).join(sums, d["source"].eqNullSafe(F.col("s")) & (F.col("copy") == F.col("c")) & (F.col("bucket") == F.col("b"))).drop("s", "c", "b")
     d = d.withColumn("finish", F.when(F.col("size") > 0, (F.col("base") + F.col("cum")) / F.col("target")))
     # the global order, range by range of finish time: a range holds about budget / n_ranges words, whatever the sources
     d = d.withColumn("range", F.floor(F.col("finish") * F.col("n_ranges")))
     ranked = Window.partitionBy("range").orderBy("finish", F.col("source").isNull(), "source", "h", "doc_id", "dup").rowsBetween(Window.unboundedPreceding, 0)
     ranges = d.where("finish is not null").groupBy("range").agg(F.sum("size").alias("z"))
-    ranges = ranges.select(F.col("range").alias("r"), (F.sum("z").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("z")).alias("ahead"))
+    ranges = _ahead(ranges, [], "range", "z", "ahead").select(F.col("range").alias("r"), "ahead")
     some = d.where("finish is not null").withColumn("here", F.sum("size").over(ranked)).join(ranges, F.col("range") == F.col("r"))
     some = some.withColumn("position", F.col("ahead") + F.col("here")).withColumn("taken", F.col("position") <= F.col("budget"))
-    keep = ["doc_id", "source", "size", "dup", "copy", "source_size", "target", "finish", "position", "taken"]
+    keep = ["doc_id", "source", "size", "tie", "dup", "copy", "source_size", "target", "finish", "position", "taken"]
     none = d.where("finish is null").withColumn("position", F.lit(None).cast("long")).withColumn("taken", F.lit(False))
     return some.select(*keep).unionByName(none.select(*keep))
 
@@ -79,18 +97,18 @@ def queues(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """documents -> the mix: a row of docs for each copy taken (a document up to `most` times), its columns unchanged.
     Columns beyond doc_id, source and text pass through, whatever their names."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     got = queues(sized, weights, share, most, seed).where("taken").groupBy("doc_id", "source", "size", "dup").agg(F.count("*").alias("copies"))
     got = got.select(F.struct(*(F.col(c).alias(c) for c in ("doc_id", "source", "size", "dup"))).alias("__key"), F.col("copies").alias("__copies"))
     cols = docs.columns
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row")).withColumn("__size", n_words(F.col("__row.text")))
-    d = d.withColumn("__dup", F.row_number().over(Window.partitionBy("__row.doc_id", "__row.source", "__size").orderBy(F.lit(1))))
+    d = d.withColumn("__dup", F.row_number().over(Window.partitionBy("__row.doc_id", "__row.source", "__size").orderBy(F.xxhash64("__row.text"))))
     on = F.col("__row.doc_id").eqNullSafe(F.col("__key.doc_id")) & F.col("__row.source").eqNullSafe(F.col("__key.source")) & (F.col("__size") == F.col("__key.size")) & (F.col("__dup") == F.col("__key.dup"))
     return d.join(got, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
 
 
 def op9_mix(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     q = queues(docs)
     return q.groupBy("doc_id", "source", "size", "dup").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0).cast("long")).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -198,10 +198,19 @@ def test_bpe_equals_library(spark, docs, rows):
         assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), t.decode(ids, skip_special_tokens=False))
 
 
-def test_mix(spark, docs):
-    d = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    d = d.union(spark.createDataFrame([(500, "z", 10), (500, "z", 10), (None, "z", None)], "doc_id long, source string, size long"))
+@pytest.mark.parametrize("bucket", [2000, 3])
+def test_mix(spark, docs, monkeypatch, bucket):
+    """Targets and totals, positions as one running sum over all, the same from other partitions; repeats and nulls."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    d = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    d = d.union(spark.createDataFrame([(500, "z", 10, 1), (500, "z", 10, 2), (None, "z", None, 3)], "doc_id long, source string, size long, tie long"))
     q = mixing.queues(d).toPandas()
+    again = mixing.queues(d.repartition(7)).toPandas()
+    key = ["source", "doc_id", "size", "tie", "copy"]
+    assert q.sort_values(key, na_position="last").reset_index(drop=True).equals(again.sort_values(key, na_position="last").reset_index(drop=True)[q.columns])
+    ranked = q[q.finish.notna()].sort_values("position")
+    assert (ranked.position.to_numpy() == ranked["size"].cumsum().to_numpy()).all() and ranked.finish.is_monotonic_increasing
+    assert (ranked.taken == (ranked.position <= 1.5 * d.toPandas()["size"].fillna(0).sum())).all()
     per = q[q.taken].groupby("source", dropna=False).agg(taken=("size", "sum"), target=("target", "first"), source_size=("source_size", "first"))
     assert (per.taken <= per.target + q["size"].max()).all() and (per.taken >= per.target - q["size"].max()).all()
     assert (per.target <= 2 * per.source_size + 1e-6).all() and per.target.sum() == pytest.approx(1.5 * per.source_size.sum())
