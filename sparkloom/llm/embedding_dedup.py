@@ -2,7 +2,8 @@
 
 Neighbour lists start from rows that stand together in the order of random hyperplane codes, and are refined by
 neighbours-of-neighbours joins: what meets in one vector's list, to or from it, is compared, and better neighbours move
-in. A list keeps its best K, and every neighbour at or above the threshold beyond that: a saturated list grows. Vectors
+in. A list keeps its best K, and K more by a hash; links found go into a forest of components at once, so that lists need
+not hold all pairs of a dense cluster. Vectors
 drawn by a hash until 256 of them have links, compared with all, audit recall; a table that has to be drawn whole for that
 is answered by the comparison. While recall is not met, fresh tables of codes are added and lists and joins double; where a
 join would then compare as many pairs as there are, all vectors are compared with all instead. Links inside a component are
@@ -98,11 +99,24 @@ def _start(v: DataFrame, level: int) -> DataFrame:
     return coded.repartitionByRange("t", "dim", "code", "node").sortWithinPartitions("t", "dim", "code", "node").mapInArrow(meet, "a long, b long, s float")
 
 
-def _lists(pairs: DataFrame, threshold: float, keep: int) -> DataFrame:
-    """The best `keep` of each node, and all at or above the threshold."""
+def _lists(pairs: DataFrame, keep: int) -> DataFrame:
+    """The best `keep` of each node; where they are all links, as many more by a hash: a saturated list grows, but a dense
+    cluster does not list all its pairs, as its links are kept in the forest."""
     both = pairs.union(pairs.select("b", "a", "s")).groupBy("a", "b").agg(F.max("s").alias("s"))
-    high, low = F.col("s") >= threshold - _SLACK, Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    return both.withColumn("n", F.row_number().over(low)).where(high | (F.col("n") <= keep)).drop("n")
+    best, some = Window.partitionBy("a").orderBy(F.desc("s"), "b"), Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
+    both = both.withColumn("n", F.row_number().over(best)).withColumn("m", F.row_number().over(some))
+    return both.where((F.col("n") <= keep) | (F.col("m") <= keep)).drop("n", "m")
+
+
+def _forest(pairs: DataFrame, v: DataFrame, forest: DataFrame | None, threshold: float) -> DataFrame:
+    """(node, component) of all links so far: those of the pairs that single precision leaves no doubt about, and of the others
+    between different components those that double precision finds."""
+    sure = pairs.where(F.col("s") >= threshold + _SLACK).select("a", "b")
+    comp = components(sure if forest is None else sure.union(forest.select("node", "component")))
+    doubt = pairs.where(F.col("s").between(threshold - _SLACK, threshold + _SLACK)).select("a", "b").where("a <> b").distinct()
+    ends = doubt.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    links = _links(ends.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b"), v, threshold)
+    return comp if links.isEmpty() else components(links.union(comp.select("node", "component")))
 
 
 def _round(lists: DataFrame, v: DataFrame, turn: int, threshold: float, most: int) -> DataFrame:
@@ -188,10 +202,9 @@ def _recall(truth: DataFrame, comp: DataFrame) -> tuple[float, DataFrame]:
     return (0.0 if share is None else share), ends.where("not hit").select("a", "b")
 
 
-def _links(lists: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
-    """Of the lists, the pairs (a, b) at or above the threshold in double precision."""
+def _links(pairs: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (a, b), those at or above the threshold in double precision."""
     x = v.select("node", "exact")
-    pairs = lists.where((F.col("s") >= threshold - _SLACK) & (F.col("a") < F.col("b"))).select("a", "b")
     pairs = pairs.join(x.select(F.col("node").alias("a"), F.col("exact").alias("xa")), "a").join(x.select(F.col("node").alias("b"), F.col("exact").alias("xb")), "b")
 
     def exact(batches):
@@ -238,27 +251,24 @@ def _degrees(comp: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
 
 def graph(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, members, (node, component) of linked nodes), once the audit's recall is met or all are compared with all."""
-    spark = vectors.sparkSession
     v, members = nodes(vectors)
-    n, keep, most, level, lists = v.count(), K, JOIN, 0, None
+    n, keep, most, level, lists, comp = v.count(), K, JOIN, 0, None, None
     truth, whole = _truth(v, n, threshold)
     if whole:
         return v, members, components(truth)
     while True:
-        pairs = _start(v, level)
-        old, lists = lists, stash(_lists(pairs if lists is None else pairs.union(lists), threshold, keep))
-        for turn in range(level * ROUNDS, (level + 1) * ROUNDS):
-            discard(*[old] if old is not None else [])
-            old, lists = lists, stash(_lists(_round(lists, v, turn, threshold, most).union(lists), threshold, keep))
-        discard(old)
-        links = _links(lists, v, threshold)
-        comp = components(links)
+        for turn in range(level * ROUNDS, (level + 1) * ROUNDS + 1):
+            first = turn == level * ROUNDS  # a level starts with codes, then come the joins
+            pairs = stash(_start(v, level) if first else _round(lists, v, turn, threshold, most))
+            comp = _forest(pairs, v, comp, threshold)
+            old, lists = lists, stash(_lists(pairs if lists is None else pairs.union(lists), keep))
+            discard(pairs, *[old] if old is not None else [])
         recall, missed = _recall(truth, comp)
         if recall >= RECALL:
-            return v, members, comp if missed.isEmpty() else components(links.union(missed))
+            return v, members, comp if missed.isEmpty() else components(missed.union(comp.select("node", "component")))
         keep, most, level = 2 * keep, 2 * most, level + 1
         if most * most >= n:
-            return v, members, components(links.union(_rest(v, comp, n, threshold)))
+            return v, members, components(_rest(v, comp, n, threshold).union(comp.select("node", "component")))
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -16,8 +16,8 @@ from ._io import table
 from ._text import slices
 
 BUCKETS = 1 << 16
-#: EM steps over all languages and for a set; the largest set; the pseudo-counts a language shares over the buckets.
-STEPS, SET_STEPS, LARGEST, PSEUDO = 8, 8, 4, 2000.0
+#: EM steps over all languages and for a set; the pseudo-counts a language shares over the buckets.
+STEPS, SET_STEPS, PSEUDO = 8, 8, 2000.0
 #: What one more language must gain in log likelihood, times ln(number of trigrams): neighbouring trigrams overlap in two
 #: bytes, so each tells about a third of what an independent one would.
 PENALTY = 1.5
@@ -109,10 +109,10 @@ def mixtures(prob: np.ndarray, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     tokens = np.log(np.add.reduceat(n, first))
     best = np.zeros_like(pi)
     score = np.full(len(first), -np.inf)
-    live = np.arange(len(first))  # texts for which a larger set is still tried
-    for k in range(1, min(LARGEST, prob.shape[1]) + 1):
-        if k > 1:  # the k-th language is worth a try if the mixture of all gives it something
-            live = live[pi[live, order[live, k - 1]] > 0.005]
+    live = np.arange(len(first))  # texts for which a set of this size is tried
+    for k in range(1, prob.shape[1] + 1):
+        if k > 1:  # the k-th language is worth a try if the mixture of all gives it a trigram
+            live = live[pi[live, order[live, k - 1]] * np.exp(tokens[live]) >= 1]
         if not len(live):
             break
         rows = np.repeat(first[live] - (np.cumsum(size[live]) - size[live]), size[live]) + np.arange(size[live].sum())
@@ -125,7 +125,6 @@ def mixtures(prob: np.ndarray, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         gain = ll - PENALTY * (k - 1) * tokens[live]
         better = gain > score[live]
         best[live[better]], score[live[better]] = fit[better], gain[better]
-        live = live[better]
     out[own] = best
     return out
 

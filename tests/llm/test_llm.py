@@ -232,6 +232,29 @@ def test_embedding_dedup(spark):
     assert got[len(x) - 1].component_id == got[5].component_id
 
 
+def test_embedding_cluster_chain_and_pairs(spark, monkeypatch):
+    """A dense cluster, a chain whose ends are far apart and pairs, by descent: all links counted, lists bounded."""
+    monkeypatch.setattr(embedding_dedup, "LINKED", 60)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    cluster = unit(unit(rng.standard_normal(32)) + 0.03 * rng.standard_normal((500, 32)))
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    t = np.arange(40)[:, None] * 0.35
+    chain = np.cos(t) * a + np.sin(t) * b
+    base = unit(rng.standard_normal((300, 32)))
+    pairs = unit(base[:120] + 0.06 * rng.standard_normal((120, 32)))
+    x = np.concatenate([cluster, chain, base, pairs])
+    held = []
+    lists = embedding_dedup._lists
+    monkeypatch.setattr(embedding_dedup, "_lists", lambda p, keep: held.append((r := lists(p, keep)).count() / keep) or r)
+    got = {r.vec_id: r for r in embedding_dedup.dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    s = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(s, False)
+    recall = sum(got[i].n_links for i in range(len(x))) / s.sum()
+    print("recall of links", recall)
+    assert recall >= 0.99 and max(held) <= 2 * len(x)
+
+
 def test_embedding_links_that_lists_miss_are_found(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.repeat(rng.standard_normal((60, 32)), 2, 0)
