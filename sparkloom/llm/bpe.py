@@ -12,9 +12,11 @@ space, as the library does for a file without a decoder."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
+import re
 import unicodedata
 import uuid
 from pathlib import Path
@@ -34,6 +36,16 @@ _PLAIN = r"^\p{L}*[!-/:-@\[-`{-~]*$"
 _LETTER = np.zeros(256, np.int64)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _ODD = regex.compile(r"[\x1c-\x1f]")
+
+
+def _unassigned() -> re.Pattern:
+    """A character that Python's tables do not know, while the library's, of a later Unicode, may: it is left to those."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)]
+    edges = [c for c in range(0x110001) if (c < 0x110000 and not known[c]) != (c > 0 and not known[c - 1])]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
+
+
+_UNKNOWN = _unassigned()
 #: Characters of text that are encoded together, or one text.
 BATCH = 2_000_000
 _HASH = np.uint32(2654435769)
@@ -82,7 +94,7 @@ class Model:
     """The tables of one tokenizer, bounded by the vocabulary; each worker builds them once from the file's bytes."""
 
     def __init__(self, data: bytes):
-        spec = json.loads(data)
+        self.file, spec = data, json.loads(data)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -249,7 +261,7 @@ class Coder:
     """Whole texts to ids. Each distinct word of a batch is split once, each distinct piece encoded once."""
 
     def __init__(self, model: Model):
-        self.m = model
+        self.m, self.strange = model, False
         self.piece = regex.compile(model.pattern)
         self.added = regex.compile("|".join(map(regex.escape, sorted(model.added, key=len, reverse=True)))) if model.added else None
         self.id_names, self.names = pa.array([str(i) for i in range(len(model.names))]), pa.array(model.names)
@@ -264,9 +276,25 @@ class Coder:
             return out + self._words(text[i:])
         return self._words(text)
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own tables, for characters that Python's do not know."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.m.file.decode())
+
+    def _split(self, word: str) -> list[str]:
+        """The pieces of a word."""
+        if not _UNKNOWN.search(word):
+            return self.piece.findall(word)
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        return [bytes(byte[c] for c in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
+
+    def _words(self, text: str) -> list[str]:
         if not text.isascii():
+            if _UNKNOWN.search(text):
+                self.strange = True
+                return [w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # a capital sigma's small form is not that of word ends here
         text = text.lower()
         return [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
@@ -275,8 +303,10 @@ class Coder:
         """Distinct pieces, and for each word the codes of its own, end to end with offsets. Words of letters with other
         signs after them, if any, are split by one regular expression over the column; the rest one by one."""
         n, plain = len(words), pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        if self.strange:
+            plain = plain & np.array([not _UNKNOWN.search(w) for w in words.to_pylist()], bool)
         rest = np.flatnonzero(~plain)
-        split = [[w] if w[0] == " " else self.piece.findall(w) for w in words.take(pa.array(rest)).to_pylist()]
+        split = [[w] if w[0] == " " else self._split(w) for w in words.take(pa.array(rest)).to_pylist()]
         raw, at = _bytes(words)
         letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
         cut = at[:-1] + np.where(plain, letters[at[1:]] - letters[at[:-1]], 0)
@@ -299,6 +329,7 @@ class Coder:
 
     def run(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and each text's offsets."""
+        self.strange = False
         split = [self.words(t) if t else [] for t in texts]
         ends = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(ws) for ws in split], out=ends[1:])
