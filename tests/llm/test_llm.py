@@ -1,6 +1,7 @@
 """The operators for training data against brute force on small fixtures with nulls, empty and long texts, repeated rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -455,6 +456,100 @@ def test_language(spark):
     assert language.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), empty).where("lang_pred <> 'und'").count() == 0
 
 
+def naive_mixture(prob, text: str) -> np.ndarray:
+    """EM by its definition, one text, one trigram after the other."""
+    folded = bytes([32]) + bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()) + bytes([32])
+    n = Counter(((a << 16 | b << 8 | c) * 2654435769 % 2**32) >> 16 for a, b, c in zip(folded, folded[1:], folded[2:]) if (a, b, c) != (32, 32, 32))
+    total, k = sum(n.values()), prob.shape[1]
+
+    def em(pi, steps):
+        for _ in range(steps):
+            new = np.zeros(k)
+            for g, c in n.items():
+                part = prob[g] * pi
+                new += c * part / part.sum()
+            pi = new / total
+        return pi, sum(c * np.log((prob[g] * pi).sum()) for g, c in n.items())
+
+    pi, _ = em(np.full(k, 1 / k), language.STEPS)
+    order, best, score = np.argsort(-pi, kind="stable"), None, -np.inf
+    for size in range(1, k + 1):
+        if size > 1 and pi[order[size - 1]] * total < 1:
+            break
+        sub = np.zeros(k)
+        sub[order[:size]] = np.maximum(pi[order[:size]], 1e-6)
+        fit, ll = em(sub / sub.sum(), 0 if size == 1 else language.SET_STEPS)
+        if (gain := ll - language.PENALTY * (size - 1) * np.log(total)) > score:
+            best, score = fit, gain
+    return best
+
+
+def test_language_by_naive_em(spark):
+    rng = random.Random(7)
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(60)] for x, a in zip("pqrstu", ("abcdeg", "defghik", "ghijklm", "lmnopqr", "aeioustr", "vwxyzab"))}
+    text = lambda *kinds: " ".join(rng.choice(words[rng.choice(kinds)]) for _ in range(120))
+    langs, prob = language.learn(spark.createDataFrame([(text(x), x) for x in words for _ in range(8)], "text string, lang string"))
+    asked = [text(*"pqrstu"[:k]) for k in range(1, 7)] + [text("u"), "ab", "É " + text("s")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), (langs, prob)).collect()}
+    sizes = set()
+    for i, t in enumerate(asked):
+        want = naive_mixture(prob.astype(float), t)
+        sizes.add(int((want > 0).sum()))
+        assert got[i].lang_pred == langs[int(want.argmax())] and got[i].score == pytest.approx(want.max(), abs=2e-3)
+        assert set(got[i].languages) == {langs[k] for k in np.flatnonzero(want)}
+    assert max(sizes) > 4
+
+
+def test_toxicity_by_naive_forward_pass(spark):
+    """The network by its definition: word after word, window after window, in plain Python."""
+    net = toxicity.Network(3)
+    texts = ["one two three bad words", "x " * 70, " ".join(f"w{i}" for i in range(100)), "Éa, b!c", "ab"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def naive(text: str) -> float:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        w = toxicity.Words(raw, np.array([0, len(raw)]))
+        vec, scores = net.vectors(w), []
+        for win in w.windows:
+            ids, hidden = win[win >= 0], {}
+            for way, run in (("f", ids), ("b", ids[::-1])):
+                s, states = np.zeros(toxicity.HIDDEN), []
+                for t in run:
+                    x, y, h = vec[t] @ net.p[f"x{way}"] + net.p[f"c{way}"], s @ net.p[f"u{way}"], toxicity.HIDDEN
+                    z, r = sig(x[:h] + y[:h]), sig(x[h : 2 * h] + y[h : 2 * h])
+                    c = np.tanh(x[2 * h :] + r * y[2 * h :])
+                    s = (1 - z) * c + z * s
+                    states.append(s)
+                hidden[way] = states if way == "f" else states[::-1]
+            both = np.array([np.concatenate(p) for p in zip(hidden["f"], hidden["b"], strict=True)])
+            e = np.tanh(both @ net.p["a"]) @ net.p["v"]
+            a = np.exp(e - e.max())
+            scores.append((a / a.sum()) @ both @ net.p["o"] + net.p["k"][0])
+        return float(sig(max(scores)))
+
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(naive(t), abs=1e-4)
+
+
+def test_queries_equal_their_sql(spark):
+    """Every query of this subpackage that has SQL, on the smallest test tables."""
+    import duckdb
+    import pandas as pd
+
+    from sparkloom.llm import catalog
+
+    sf = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        duck.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cell = lambda x: "null" if pd.isna(x) else repr(round(float(x), 6) + 0.0) if not isinstance(x, str) else x
+    for name, sql in catalog.ORACLES.items():
+        got, want = catalog.QUERIES[name](spark, sf).toPandas(), duck.execute(sql).df()
+        a, b = (sorted(tuple(map(cell, r)) for r in f[sorted(f.columns)].itertuples(index=False)) for f in (got, want))
+        assert sorted(got.columns) == sorted(want.columns) and a == b, name
+
+
 def test_held_out_is_crc32(spark):
     got = spark.range(50).select("id", language.held(F.col("id"), 3).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 3 for r in got)
