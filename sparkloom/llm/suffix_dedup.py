@@ -74,21 +74,37 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, short: np.ndarray, leas
     lo, hi = edge[:-1], edge[1:]
     go = last[hi] == 7
     lo, hi = lo[go], hi[go]
+    # equal bytes that stand together in the transform are one piece: a repetitive text has few
+    begin = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+    piece = np.zeros(n, np.int64)
+    piece[begin[1:]] = 1
+    np.cumsum(piece, out=piece)
+    symbol, first = before[begin], to[begin]
+    begin = np.append(begin, n)
     for _ in range(8, least):
         if not len(lo):
             break
-        size = hi - lo
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        byte = before[at]
+        a = piece[lo]
+        count = piece[hi - 1] - a + 1
+        if count.max() > 1:
+            own = np.repeat(np.arange(len(lo)), count)
+            r = a[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            lo, hi = np.maximum(lo[own], begin[r]), np.minimum(hi[own], begin[r + 1])
+        else:
+            own, r = None, a
+        byte = symbol[r]
         keep = byte != _END  # strings do not run over the end of a stretch
-        at, own, byte = to[at[keep]], np.repeat(np.arange(len(lo)), size)[keep], byte[keep]
-        if not len(at):
-            break
-        s = np.argsort(at)
-        at, own, byte = at[s], own[s], byte[s]
-        new = np.append(True, (np.diff(at) != 1) | (np.diff(own) != 0) | (np.diff(byte.astype(np.int16)) != 0))
-        lo = at[new]
-        hi = at[np.append(new[1:], True)] + 1
+        new = first[r] + lo - begin[r]
+        lo, hi = new, new + hi - lo
+        if own is not None:  # one string's pieces with the same byte meet in one interval
+            many = np.flatnonzero(keep & (count[own] > 1))
+            s = many[np.argsort(lo[many])]
+            more = (lo[s[1:]] == hi[s[:-1]]) & (own[s[1:]] == own[s[:-1]]) & (byte[s[1:]] == byte[s[:-1]])
+            if more.any():
+                head = np.flatnonzero(np.append(True, ~more))
+                hi[s[head]] = hi[s[np.append(head[1:], len(s)) - 1]]
+                keep[s[1:][more]] = False
+        lo, hi = lo[keep], hi[keep]
         go = ~met[hi]
         lo, hi = lo[go], hi[go]
         met[hi] = True
@@ -96,19 +112,8 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, short: np.ndarray, leas
 
 
 def kernel(group, weight, d, pos, col: pa.Array):
-    # copies collapsed to one stretch have nothing else to be held against: all their windows repeat, none within the stretch
-    many = np.bincount(group - group[0])[group - group[0]] > 1
-    alone, at = np.flatnonzero(~many & (weight > 1)), np.flatnonzero(many)
-    zero = np.zeros(len(alone), np.int64)
-    found = [(alone, zero, (pos >> 10 & 1023)[alone], zero)]
-    if len(at):
-        row, *rest = extended(weight[at], pos[at], col.take(pa.array(at)))
-        found.append((at[row], *rest))
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
-
-
-def extended(weight, pos, col: pa.Array):
-    """The windows that repeat in these stretches, as runs (row, start, count, 0)."""
+    """The windows that repeat in these stretches, as runs (row, start, count, 0). A stretch that stands for copies repeats
+    by its weight."""
     n = pos >> 10 & 1023
     offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
