@@ -163,7 +163,7 @@ def ordered(score: int) -> str:
 
 
 def _regions(v: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """v (vec_id, v, dim, huge) -> with region (the nearest pivot's number, -1 for huge vectors) and far (its distance); the
+    """v (vec_id, v, dim, huge) -> with region (the nearest pivot's number, -1 for huge vectors), far (its distance) and norm; the
     pivots by dim: about one in DATA of the vectors, by a hash, with the origin where there is none."""
     picked = v.where(~F.col("huge") & (F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(DATA)) == 0)).select("dim", "v").distinct().toArrow()
     dims, rows = picked["dim"].to_pylist(), picked["v"].to_pylist()
@@ -172,7 +172,7 @@ def _regions(v: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
     def work(batches):
         for batch in batches:
             dim, huge = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            region, far = np.full(len(dim), -1, np.int64), np.zeros(len(dim))
+            region, far, norm = np.full(len(dim), -1, np.int64), np.zeros(len(dim)), np.zeros(len(dim))
             for d in np.unique(dim[~huge]):
                 at = np.flatnonzero((dim == d) & ~huge)
                 x, p = _matrix(batch.column(1).take(pa.array(at)), int(d)), pivots.get(int(d), np.zeros((1, int(d))))
@@ -181,9 +181,10 @@ def _regions(v: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
                     dd = np.maximum((some**2).sum(1)[:, None] + (p**2).sum(1) - 2 * some @ p.T, 0)
                     region[at[lo : lo + 512]] = near = dd.argmin(1)
                     far[at[lo : lo + 512]] = np.sqrt(((some - p[near]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(far)], ["vec_id", "v", "dim", "huge", "region", "far"])
+                    norm[at[lo : lo + 512]] = np.sqrt((some**2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(far), pa.array(norm)], ["vec_id", "v", "dim", "huge", "region", "far", "norm"])
 
-    return v.select("vec_id", "v", "dim", "huge").mapInArrow(work, "vec_id long, v array<double>, dim int, huge boolean, region long, far double"), pivots
+    return v.select("vec_id", "v", "dim", "huge").mapInArrow(work, "vec_id long, v array<double>, dim int, huge boolean, region long, far double, norm double"), pivots
 
 
 def _asked(rows: DataFrame, k: int, exact: bool) -> DataFrame:
@@ -249,13 +250,12 @@ def top_k(vectors: DataFrame, k: int, is_query) -> DataFrame:
     v = v.withColumn("huge", F.exists("v", lambda c: c * c * F.col("dim") >= EXACT))
     placed, pivots = _regions(v)
     placed = stash(placed)
-    data = placed.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    sizes = data.groupBy("dim", "region").agg(F.max("far").alias("radius"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + F.when(F.col("region") >= 0, c * c).otherwise(0.0)))).alias("reach"), F.ceil(F.count("*") / DATA).cast("int").alias("blocks"))
+    data = stash(placed.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n"))
     # a row for each region, that is for DATA vectors
+    sizes = stash(data.groupBy("dim", "region").agg(F.max("far").alias("radius"), F.max("norm").alias("reach"), F.ceil(F.count("*") / DATA).cast("int").alias("blocks")))
     regions = sizes.toArrow().to_pylist()
-    sizes = stash(sizes)
     in_block = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col("blocks")).cast("int")
-    dealt = stash(data.join(F.broadcast(sizes.select("dim", "region", "blocks")), ["dim", "region"]).select("dim", "region", in_block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v"))
+    dealt = data.join(F.broadcast(sizes.select("dim", "region", "blocks")), ["dim", "region"]).select("dim", "region", in_block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
     asked = placed.where(is_query).groupBy("v", "dim", "region", "huge").agg(F.min("vec_id").alias("vec_id"))
     # first in one block of the own region
     at_home = asked.where(~F.col("huge")).join(F.broadcast(sizes.select("dim", "region", "blocks")), ["dim", "region"]).select("dim", "region", in_block.alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
