@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import stash
+from ._io import discard, stash
 from ._text import U, anchor_runs, run_hashes, slices, stretch_hashes
 
 #: pos = lo << 20 | starts << 10 | offset of the anchor from lo, in symbols of the document; windows are below 1,024.
@@ -71,12 +71,13 @@ def repeated(docs: DataFrame, s: Symbols, kernel: Callable, order_matters: bool,
     all but the first. With order_matters the first window of equal ones stays."""
     spark = docs.sparkSession
     docs = keyed(docs)
-    # a table of its own: AQE splits the join of a hot anchor only if no aggregate stands between it and the exchanges
+    # tables of their own: AQE splits the join of a hot anchor only if no aggregate stands between it and the exchanges
     often = stash(runs(docs, s, only_anchor=True).groupBy("anchor").count().where("count > 1").select("anchor"))
     members = stash(runs(docs, s).join(often, "anchor", "left_semi"))
-    stretch = members.groupBy("anchor", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("d", "pos", "t")).alias("f"))
-    size = stretch.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum("weight").alias("runs")).where("runs > 1")
-    stretch = stash(stretch.join(size, "anchor").select("anchor", "ctx", "weight", "f.d", "f.t", "f.pos", "stretches"))
+    each = stash(members.groupBy("anchor", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("d", "pos", "t")).alias("f")))
+    size = stash(each.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum("weight").alias("runs")).where("runs > 1"))
+    stretch = stash(each.join(size, "anchor").select("anchor", "ctx", "weight", "f.d", "f.t", "f.pos", "stretches"))
+    discard(often, each, size)
     found = _judge(docs, stretch, s, kernel, order_matters, most, block)
     keys = ["anchor", "ctx"]
     found = found.withColumnRenamed("d", "fd").withColumnRenamed("pos", "fpos")
