@@ -39,15 +39,23 @@ _ODD = regex.compile(r"[\x1c-\x1f]")
 
 
 def _unassigned() -> re.Pattern:
-    """A character that Python's tables do not know, while the library's, of a later Unicode, may: it is left to those."""
-    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)]
-    edges = [c for c in range(0x110001) if (c < 0x110000 and not known[c]) != (c > 0 and not known[c - 1])]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x10000)]
+    edges = [c for c in range(0x10001) if (c < 0x10000 and not known[c]) != (c > 0 and not known[c - 1])]
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
+
+
+#: One pattern for the first plane, which re looks up in a bitmap; what lies beyond is rare.
+_NEW, _BEYOND = _unassigned(), re.compile("[\U00010000-\U0010ffff]")
+
+
+def unknown(text: str) -> bool:
+    """Whether a text has a character that Python's tables do not know, while the library's, of a later Unicode, may: it is left
+    to those."""
+    return bool(_NEW.search(text)) or any(unicodedata.category(c) == "Cn" for c in _BEYOND.findall(text))
 
 
-_UNKNOWN = _unassigned()
 #: Characters of text that are encoded together, or one text.
-BATCH = 2_000_000
+BATCH = 4_000_000
 _HASH = np.uint32(2654435769)
 
 
@@ -285,14 +293,14 @@ class Coder:
 
     def _split(self, word: str) -> list[str]:
         """The pieces of a word."""
-        if not _UNKNOWN.search(word):
+        if not unknown(word):
             return self.piece.findall(word)
         byte = {c: b for b, c in enumerate(byte_letters())}
         return [bytes(byte[c] for c in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
 
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
-            if _UNKNOWN.search(text):
+            if unknown(text):
                 self.strange = True
                 return [w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # a capital sigma's small form is not that of word ends here
@@ -304,7 +312,7 @@ class Coder:
         signs after them, if any, are split by one regular expression over the column; the rest one by one."""
         n, plain = len(words), pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
         if self.strange:
-            plain = plain & np.array([not _UNKNOWN.search(w) for w in words.to_pylist()], bool)
+            plain = plain & np.array([not unknown(w) for w in words.to_pylist()], bool)
         rest = np.flatnonzero(~plain)
         split = [[w] if w[0] == " " else self._split(w) for w in words.take(pa.array(rest)).to_pylist()]
         raw, at = _bytes(words)
