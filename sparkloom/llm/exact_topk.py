@@ -149,7 +149,7 @@ def whole(vectors: DataFrame, scale: int = 64) -> DataFrame:
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
     ok = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float("inf"))), F.lit(False))
     far = 2.0**53  # from here on every double is whole
-    return x.where(ok).select("vec_id", F.transform("e", lambda c: F.when(F.abs(c * scale) < far, F.floor(F.when(F.abs(c * scale) < far, c * scale).otherwise(0.0)).cast("double")).otherwise(c * scale)).alias("v"))
+    return x.where(ok).select("vec_id", F.transform("e", lambda c: F.when(F.abs(c * scale) < far, F.floor(c * scale).cast("double")).otherwise(c * scale)).alias("v"))
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -247,7 +247,7 @@ def top_k(vectors: DataFrame, k: int, is_query) -> DataFrame:
     2**52, whole numbers of any length take the place of trees: vectors so large are asked of all, and compared with all. An
     empty table gives no rows; rows that repeat a vec_id and a vector are one; empty vectors have products of 0."""
     v = vectors.groupBy("vec_id", "v").agg(F.lit(1).alias("one")).select("vec_id", "v", F.size("v").alias("dim"))
-    v = v.withColumn("huge", F.exists("v", lambda c: c * c * F.col("dim") >= EXACT))
+    v = stash(v.withColumn("huge", F.exists("v", lambda c: c * c * F.col("dim") >= EXACT)))
     placed, pivots = _regions(v)
     placed = stash(placed)
     data = stash(placed.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n"))
