@@ -55,19 +55,28 @@ def gather(index: DataFrame, pages: DataFrame, per_page: int) -> DataFrame:
     return got.withColumn("rec", F.expr(f"substring(data, slot * {RECORD} + 1, {RECORD})")).withColumn("scale", F.expr(f"substring(data, {per_page * RECORD} + slot * {SCALES} + 1, {SCALES})")).drop("data")
 
 
-def decoded(records: DataFrame, keep: list[str]) -> DataFrame:
-    """records (keep, rec, scale) -> keep, values."""
+def _decoded(records: DataFrame, keep: list[str], out: dict[str, str], columns) -> DataFrame:
+    """records (keep, rec, scale) -> keep and the columns that are made from the values of a block of rows."""
 
     def work(batches):
         for batch in batches:
             for i in range(0, len(batch), ROWS):
                 b = batch[i : i + ROWS]
                 v = decode(b.column(len(keep)), b.column(len(keep) + 1))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * WIDTH, pa.int32()), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], flat], [*keep, "values"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *columns(v)], [*keep, *out])
+
+    kinds = dict(records.dtypes)
+    return records.select(*keep, "rec", "scale").mapInArrow(work, ", ".join(f"{k} {t}" for k, t in ({k: kinds[k] for k in keep} | out).items()))
+
+
+def decoded(records: DataFrame, keep: list[str]) -> DataFrame:
+    """records (keep, rec, scale) -> keep, values."""
+    return _decoded(records, keep, {"values": "array<double>"}, lambda v: [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * WIDTH, pa.int32()), pa.array(v.ravel()))])
+
 
-    kind = ", ".join(f"{k} {dict(records.dtypes)[k]}" for k in keep)
-    return records.select(*keep, "rec", "scale").mapInArrow(work, f"{kind}, values array<double>")
+def sums(records: DataFrame, keep: list[str], spans: dict[str, tuple[int, int]]) -> DataFrame:
+    """records (keep, rec, scale) -> keep and, by name, the sum of the values of each span (begin, end)."""
+    return _decoded(records, keep, dict.fromkeys(spans, "double"), lambda v: [pa.array(v[:, lo:hi].sum(1)) for lo, hi in spans.values()])
 
 
 def _by_query(records: DataFrame, queries: DataFrame, work, schema: str) -> DataFrame:

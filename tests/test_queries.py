@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom import catalog
 from sparkloom.functions.vectors import e8m0, fp8_e4m3
 from sparkloom.operators import compare, gates, paged, profiles, ranking
+from sparkloom.plans import attention
 from sparkloom.plans.sqlplans import TABLES
 from sparkloom.sources import files, tables
 
@@ -331,3 +332,20 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_records_of_one_file_are_made_in_many_tasks(spark, tmp_path):
+    """A file of one row group is one task; the digests are not made there. They are as the SQL says, for a null id too."""
+    pd.DataFrame({"event_id": pd.array([*range(40), None], "Int64")}).to_parquet(tmp_path / "events.parquet")
+    got = attention.records(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 4 and len({r.p for r in got.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    for r in got.collect():
+        h = "".join(hashlib.md5(f"{'' if r.event_id is None else r.event_id}:{k}".encode()).hexdigest() for k in range(37))
+        high = "".join(h[896 + 4 * j : 898 + 4 * j] + ("3f" if h[898 + 4 * j] < "8" else "bf") for j in range(64))
+        assert bytes(r.rec).hex() == h[:896].replace("f", "e") + high
+        assert bytes(r.scale).hex() == "".join(f"7{int(x, 16) % 8}" for x in h[1152:1160])
+
+
+def test_sums_of_spans(spark):
+    one = spark.createDataFrame([(1, bytearray(b"\x38" * 448 + b"\x80\x3f" * 64), bytearray([127, 128, 127, 127, 127, 127, 127, 0]))], "k int, rec binary, scale binary")
+    assert tuple(paged.sums(one, ["k"], {"a": (0, 448), "b": (448, 512), "c": (64, 65)}).first()) == (1, 512.0, 64.0, 2.0)
