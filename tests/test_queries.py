@@ -349,3 +349,13 @@ def test_records_of_one_file_are_made_in_many_tasks(spark, tmp_path):
 def test_sums_of_spans(spark):
     one = spark.createDataFrame([(1, bytearray(b"\x38" * 448 + b"\x80\x3f" * 64), bytearray([127, 128, 127, 127, 127, 127, 127, 0]))], "k int, rec binary, scale binary")
     assert tuple(paged.sums(one, ["k"], {"a": (0, 448), "b": (448, 512), "c": (64, 65)}).first()) == (1, 512.0, 64.0, 2.0)
+
+
+def test_attention_merges_whole_vectors(spark):
+    """Vectors are merged as such, not exploded to a row a dimension; queries without records, also of a null row, stay."""
+    records = spark.createDataFrame([(1, i, bytearray([0x38] * 448 + [0] * 128), bytearray([127] * 8)) for i in range(3)], "row_id long, id long, rec binary, scale binary")
+    q = spark.createDataFrame([(r, h, [1.0] * 512) for r in (1, 2, None) for h in (0, 1)], "row_id long, head int, q array<double>")
+    out = paged.attend(records, q)
+    assert dict(out.dtypes) == {"row_id": "bigint", "head": "int", "lse": "double", "output": "array<double>"}
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.row_id, r["head"], round(r.output[0], 9), r.output[511], np.isinf(r.lse)) for r in out.collect()} == {(r, h, float(r == 1), 0.0, r != 1) for r in (1, 2, None) for h in (0, 1)}
