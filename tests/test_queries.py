@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,3 +360,12 @@ def test_attention_merges_whole_vectors(spark):
     assert dict(out.dtypes) == {"row_id": "bigint", "head": "int", "lse": "double", "output": "array<double>"}
     assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.row_id, r["head"], round(r.output[0], 9), r.output[511], np.isinf(r.lse)) for r in out.collect()} == {(r, h, float(r == 1), 0.0, r != 1) for r in (1, 2, None) for h in (0, 1)}
+
+
+def test_bucket3_of_odd_values(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, 0.0, -0.0, 25.0, np.nextafter(25, 0), 75.0, np.nextafter(75, 99), 1e308, 5e-324]
+    pa.parquet.write_table(pa.table({"event_id": pa.array([None, *range(1, len(values))], pa.int64()), "value": pa.array(values, pa.float64())}), tmp_path / "events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert rows(catalog.QUERIES["bucket3"](spark, str(tmp_path)).toPandas()) == rows(c.execute(catalog.ORACLES["bucket3"]).df())
