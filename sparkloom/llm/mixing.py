@@ -3,14 +3,15 @@
 Each document enters its source's queue up to twice, in an order shuffled by a keyed hash. A copy's virtual finish time
 is the cumulative size of its source's queue up to and including it, divided by the source's target; all queues reach
 1 together, whatever their sizes. The copies are range-sorted by finish time over all sources and cut where the
-cumulative size passes the total budget."""
+cumulative size passes the total budget. Each step that later ones read more than once is written as a table, so that no
+plan holds another's work again: one plan of all steps takes the driver more memory than the steps themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import table
+from ._io import discard, stash, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one bucket of a queue, or of the range-sorted mix, holds on average: what one window sums in order.
@@ -62,49 +63,65 @@ def _ahead(sums: DataFrame, keys: list[str], at: str, value: str, name: str) ->
 
 
 def queues(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """As _queues, without the tables that the result reads."""
+    return _queues(docs, weights, share, most, seed)[0]
+
+
+def _queues(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: str) -> tuple[DataFrame, list[DataFrame]]:
     """docs (doc_id, source, size, and tie, a hash of the text) -> a row for each document and copy: besides those columns `dup`,
     `copy`, `source_size`, `target`, `finish`, `position` (sizes in the mix up to and including it), `taken` (whether the
-    budget holds it).
+    budget holds it); and the stashed tables that those rows are read from.
 
     Rows that repeat a document are documents of their own, told apart by `dup`, in the order of tie. Null sources form one source; null sizes
     count 0; copies without size have no finish time and are not taken. No task sees a whole source: sums run within
     buckets of the shuffled order, and between buckets over one row for each."""
     docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "tie")
-    d = docs.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("tie")))
-    goal = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")), weights, share, most)
+    rows = stash(docs.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("tie"))))
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")), weights, share, most)
     goal = goal.withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / BUCKET))).withColumn("n_ranges", F.greatest(F.lit(1), F.ceil(F.sum("source_docs").over(Window.partitionBy()) / BUCKET))).withColumnRenamed("source", "s")
-    d = d.join(goal, d["source"].eqNullSafe(goal["s"])).drop("s").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    goal = stash(goal)
+    d = rows.join(goal, rows["source"].eqNullSafe(goal["s"])).drop("s").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(most))))
     d = d.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "copy", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "dup")))
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("n_buckets")))
     inside = Window.partitionBy("source", "copy", "bucket").orderBy("h", "doc_id", "dup").rowsBetween(Window.unboundedPreceding, 0)
+    d = queued = stash(d.withColumn("cum", F.sum("size").over(inside)))
+    discard(rows, goal)
     sums = d.groupBy("source", "copy", "bucket").agg(F.sum("size").alias("z"), F.first("n_buckets").alias("n"))
-    sums = _ahead(sums.withColumn("at", (F.col("copy") - 1) * F.col("n") + F.col("bucket")), ["source"], "at", "z", "base")
-    sums = sums.select(F.col("source").alias("s"), F.col("copy").alias("c"), F.col("bucket").alias("b"), "base")
-    d = d.withColumn("cum", F.sum("size").over(inside)).join(sums, d["source"].eqNullSafe(F.col("s")) & (F.col("copy") == F.col("c")) & (F.col("bucket") == F.col("b"))).drop("s", "c", "b")
+    buckets = stash(sums.withColumn("at", (F.col("copy") - 1) * F.col("n") + F.col("bucket")))
+    sums = _ahead(buckets, ["source"], "at", "z", "base").select(F.col("source").alias("s"), F.col("copy").alias("c"), F.col("bucket").alias("b"), "base")
+    d = d.join(sums, d["source"].eqNullSafe(F.col("s")) & (F.col("copy") == F.col("c")) & (F.col("bucket") == F.col("b"))).drop("s", "c", "b")
     d = d.withColumn("finish", F.when(F.col("size") > 0, (F.col("base") + F.col("cum")) / F.col("target")))
     # the global order, range by range of finish time: a range holds about budget / n_ranges words, whatever the sources
-    d = d.withColumn("range", F.floor(F.col("finish") * F.col("n_ranges")))
+    d = stash(d.withColumn("range", F.floor(F.col("finish") * F.col("n_ranges"))))
+    discard(queued, buckets)
     ranked = Window.partitionBy("range").orderBy("finish", F.col("source").isNull(), "source", "h", "doc_id", "dup").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = d.where("finish is not null").groupBy("range").agg(F.sum("size").alias("z"))
-    ranges = _ahead(ranges, [], "range", "z", "ahead").select(F.col("range").alias("r"), "ahead")
+    sizes = stash(d.where("finish is not null").groupBy("range").agg(F.sum("size").alias("z")))
+    ranges = stash(_ahead(sizes, [], "range", "z", "ahead").select(F.col("range").alias("r"), "ahead"))
+    discard(sizes)
     some = d.where("finish is not null").withColumn("here", F.sum("size").over(ranked)).join(ranges, F.col("range") == F.col("r"))
     some = some.withColumn("position", F.col("ahead") + F.col("here")).withColumn("taken", F.col("position") <= F.col("budget"))
     keep = ["doc_id", "source", "size", "tie", "dup", "copy", "source_size", "target", "finish", "position", "taken"]
     none = d.where("finish is null").withColumn("position", F.lit(None).cast("long")).withColumn("taken", F.lit(False))
-    return some.select(*keep).unionByName(none.select(*keep))
+    return some.select(*keep).unionByName(none.select(*keep)), [d, ranges]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """documents -> the mix: a row of docs for each copy taken (a document up to `most` times), its columns unchanged.
     Columns beyond doc_id, source and text pass through, whatever their names."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    got = queues(sized, weights, share, most, seed).where("taken").groupBy("doc_id", "source", "size", "dup").agg(F.count("*").alias("copies"))
-    got = got.select(F.struct(*(F.col(c).alias(c) for c in ("doc_id", "source", "size", "dup"))).alias("__key"), F.col("copies").alias("__copies"))
-    cols = docs.columns
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row")).withColumn("__size", n_words(F.col("__row.text")))
-    d = d.withColumn("__dup", F.row_number().over(Window.partitionBy("__row.doc_id", "__row.source", "__size").orderBy(F.xxhash64("__row.text"))))
-    on = F.col("__row.doc_id").eqNullSafe(F.col("__key.doc_id")) & F.col("__row.source").eqNullSafe(F.col("__key.source")) & (F.col("__size") == F.col("__key.size")) & (F.col("__dup") == F.col("__key.dup"))
-    return d.join(got, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
+    q, read = _queues(sized, weights, share, most, seed)
+    got = stash(q.where("taken").groupBy("doc_id", "source", "size", "dup").agg(F.count("*").alias("copies")))
+    discard(*read)
+    key = lambda size, of="": F.struct(F.col(f"{of}doc_id").alias("doc_id"), F.col(f"{of}source").alias("source"), size.alias("size")).alias("__key")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    d = d.select("__row", key(n_words(F.col("__row.text")), "__row."), F.lit(None).cast("int").alias("__dup"), F.lit(None).cast("long").alias("__copies"))
+    got = got.select(F.lit(None).cast(d.schema["__row"].dataType).alias("__row"), key(F.col("size")), F.col("dup").alias("__dup"), F.col("copies").alias("__copies"))
+    # dealt out once, texts with their numbers of copies; a join would deal the numbered texts out again
+    both = d.unionByName(got).repartition("__key")
+    number = F.row_number().over(Window.partitionBy("__key", F.col("__row").isNull()).orderBy(F.xxhash64("__row.text")))
+    both = both.withColumn("__dup", F.coalesce("__dup", number))
+    both = both.withColumn("__copies", F.max("__copies").over(Window.partitionBy("__key", "__dup"))).where("__row is not null and __copies is not null")
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
 
 
 def op9_mix(spark, sf_dir) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, components, embedding_dedup, exact_topk, language, mixing, ngram_join, pii, repeats, substring_dedup, suffix_dedup, toxicity
+from sparkloom.llm import _io, bpe, components, embedding_dedup, exact_topk, language, mixing, ngram_join, pii, repeats, substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, lang string, extra int, `__row` string"
@@ -235,6 +235,16 @@ def test_mix(spark, docs, monkeypatch, bucket):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mix_in_small_plans(spark, docs, monkeypatch):
+    """No plan holds all steps, whose text, renewed after each stage, filled the driver; of the tables between only one stays."""
+    before, plans, stash = set(_io._stashed), [], mixing.stash
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    monkeypatch.setattr(mixing, "stash", lambda df: plans.append(exchanges(df)) or stash(df))
+    plans.append(exchanges(mixing.mix(docs)))
+    assert plans[-1] == 1  # texts are dealt out once
+    assert max(plans) <= 8 and len(set(_io._stashed) - before) == 1
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16))
